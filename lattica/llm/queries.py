@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import decontaminate, near_dup, sentencepiece_bpe
 from .common import table
 
 
+#: The vocabulary file of op2; None: the public one on this machine.
+SENTENCEPIECE_MODEL: str | None = None
+
+
+def sentencepiece_model() -> str:
+    if SENTENCEPIECE_MODEL:
+        return SENTENCEPIECE_MODEL
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), sentencepiece_model())
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": decontaminate.ORACLE,
 }
-ORACLES: dict[str, str] = {}
