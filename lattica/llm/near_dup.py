@@ -208,8 +208,106 @@ def verified(pairs: DataFrame, docs: DataFrame, weigher: Weigher) -> DataFrame:
     )
 
 
+#: Documents, and shingles by weight, of a block; two blocks at a time are compared in memory.
+BLOCK_DOCS, BLOCK_WEIGHT = 256, 500_000
+
+
+def blocks_of(members: DataFrame, comps: DataFrame, weight: DataFrame) -> DataFrame:
+    """(bucket, p, q, id, comp): members of the buckets that comps doesn't connect, dealt into blocks and those into pairs of blocks."""
+    placed = members.join(comps, "id", "left").join(weight.withColumnRenamed("doc_id", "id"), "id").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), "weight")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("weight").alias("w")).where("x <> y")
+    n = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_WEIGHT)).cast("int")
+    dealt = placed.join(mixed.select("bucket", n.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = dealt.select("bucket", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return each.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp")
+
+
+def forest(m: int, i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> list[int]:
+    """Which of the links (i, j) a spanning forest needs, where members of one comp are joined already."""
+    root = list(range(m))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, head, back = np.unique(comp, return_index=True, return_inverse=True)
+    for x, y in enumerate(head[back].tolist()):
+        root[find(x)] = find(y)
+    out = []
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        if (x := find(x)) != (y := find(y)):
+            root[x] = y
+            out.append(k)
+    return out
+
+
+def similarities(words: common.Words, texts: list[bytes], weigher: Weigher) -> np.ndarray:
+    """Weighted Jaccard similarity of all texts of two blocks. A count of n is n features with the weights' increments, so that minima are products."""
+    m = len(texts)
+    of, sid, tf, _, _ = words.shingles(texts, WIDTH)
+    idf = weigher(sid, np.ones(len(sid)))
+    total = np.bincount(of, (1 + np.log(tf)) * idf, m)
+    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+    of, sid, idf = (np.repeat(x, tf) for x in (of, sid, idf))
+    value = np.sqrt(np.where(level == 1, 1.0, np.log(level / np.maximum(level - 1, 1))) * idf)
+    _, feature, times = np.unique(sid + common.mix(level.astype(np.uint64)), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    use = times[feature] > 1
+    of, value, feature = of[use], value[use], column[feature[use]]
+    order = np.argsort(feature, kind="stable")
+    of, value, feature = of[order], value[order], feature[order]
+    shared, step = np.zeros((m, m)), 8192
+    for first in range(0, int(feature[-1]) + 1 if len(feature) else 0, step):
+        lo, hi = np.searchsorted(feature, (first, first + step))
+        dense = np.zeros((m, min(step, int(feature[-1]) + 1 - first)))
+        dense[of[lo:hi], feature[lo:hi] - first] = value[lo:hi]
+        shared += dense @ dense.T
+    return shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-300)
+
+
+def linked(dealt: DataFrame, docs: DataFrame, weigher: Weigher) -> DataFrame:
+    """(a, b) of a spanning forest of the links in every pair of blocks."""
+
+    def compare(batches):
+        words, rows, key = common.Words(), [], None
+
+        def links():
+            comp = np.array([r[1] for r in rows])
+            i, j = np.nonzero(np.triu(similarities(words, [r[2] for r in rows], weigher) >= SIMILARITY - 1e-9, 1))
+            ids = [r[0] for r in rows]
+            return [(ids[i[k]], ids[j[k]]) for k in forest(len(rows), i, j, comp)]
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            found = []
+            for k, i, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), common.texts_of(batch.column(3))):
+                if k != key and rows:
+                    found += links()
+                    rows.clear()
+                key = k
+                rows.append((i, c, t))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+        if rows:
+            a, b = zip(*found) if (found := links()) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    keyed = dealt.join(texts, "id").select(F.concat_ws(":", "bucket.band", "bucket.key", "p", "q").alias("key"), "id", "comp", "text")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, f"a {kind}, b {kind}")
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_links (verified links of its representative): a row per doc_id."""
+    """doc_id, class_id (the smallest doc_id of its class): a row per doc_id.
+
+    Buckets of a band are first compared with their smallest member, which is linear and joins most copies. Only buckets
+    that still hold several components go on to blocks, where all their members meet in memory and a spanning forest of
+    the links comes out; so no pairs are written, and no link between components is missed.
+    """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     weigher = Weigher(*common_shingles(docs))
     signs = common.stored(signatures(docs, weigher), "signatures")
@@ -220,27 +318,16 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = members.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
     members = common.stored(members.join(shared, "bucket"), "buckets")
     weight = heads.groupBy("doc_id").agg(F.max("weight").alias("weight"), F.min("weight").alias("low"))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Similarity is at most the ratio of the total weights."""
-        wa, wb = (weight.select(F.col("doc_id").alias(c), F.col("weight").alias(f"w{c}"), F.col("low").alias(f"l{c}")) for c in "ab")
-        return pairs.join(wa, "a").join(wb, "b").where(f"wa >= {SIMILARITY - 1e-9} * lb and wb >= {SIMILARITY - 1e-9} * la").select("a", "b")
-
-    links = common.stored(verified(possible(common.star_pairs(members)), docs, weigher), "links")
-    found = rep.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    ends = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comps = common.connected_components(ends.unionAll(found), "star")
-    tried = links.select("a", "b")
-    more = common.stored(verified(possible(common.cross_pairs(members, comps).join(tried, ["a", "b"], "left_anti")), docs, weigher), "more")
-    links = links.unionAll(more)
-    if more.isEmpty():
-        last = comps
-    else:
-        last = common.connected_components(comps.select(F.col("id").alias("src"), F.col("comp").alias("dst")).unionAll(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "all")
-    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of = rep.select("doc_id", "rep").distinct().join(n, "rep", "left").join(last.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
-    known = of.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    return docs.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Similarity is at most the ratio of the total weights.
+    wa, wb = (weight.select(F.col("doc_id").alias(c), F.col("weight").alias(f"w{c}"), F.col("low").alias(f"l{c}")) for c in "ab")
+    possible = common.star_pairs(members).join(wa, "a").join(wb, "b").where(f"wa >= {SIMILARITY - 1e-9} * lb and wb >= {SIMILARITY - 1e-9} * la").select("a", "b")
+    links = common.stored(verified(possible, docs, weigher), "links")
+    copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    comps = common.connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(copies), "star")
+    more = common.stored(linked(blocks_of(members, comps, weight.select("doc_id", "weight")), docs, weigher), "more")
+    if not more.isEmpty():
+        comps = common.connected_components(comps.select(F.col("id").alias("src"), F.col("comp").alias("dst")).unionAll(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "all")
+    return docs.select("doc_id").distinct().join(comps.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
