@@ -77,7 +77,7 @@ class Manifold(Space):
             text = ";".join(f"{r['cid']}:" + ",".join(repr(float(v)) for v in r["x"]) for r in rows)
             parts = F.transform(F.split(F.lit(text), ";"), lambda s: F.split(s, ":"))
             found = F.transform(parts, lambda p: F.struct(self.between(F.col("x"), F.split(F.get(p, F.lit(1)), ",").cast("array<double>")).alias("d"), F.get(p, F.lit(0)).cast("int").alias("cid")))
-        return points.withColumn("_best", F.array_min(found)).select(*points.columns, F.col("_best.cid").alias("label"), F.col("_best.d").alias("d"))
+        return points.withColumn("_best", F.array_min(found)).select(*(c for c in points.columns if c not in ("label", "d")), F.col("_best.cid").alias("label"), F.col("_best.d").alias("d"))
 
     def pairs(self, a: DataFrame, b: DataFrame | None = None) -> DataFrame:
         left = a.select(F.col("point_id").alias("i"), "x")
@@ -166,7 +166,7 @@ class GraphSpace(Space):
             return F.struct(F.least(route, one).alias("d"), c["cid"].alias("cid"))
 
         x = x.withColumn("_best", F.array_min(F.transform(i, at)))
-        keep = [c for c in points.columns if c != "length"]
+        keep = [c for c in points.columns if c not in ("length", "label", "d")]
         return x.select(*keep, "length", F.col("_best.cid").alias("label"), F.col("_best.d").alias("d"))
 
     def pairs(self, a, b=None):
