@@ -1,9 +1,10 @@
 """MinHash near-dedup: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-The weight of a shingle in a document is (1 + ln tf) * idf, with idf = (1 + ln((1 + N) / (1 + df))) / (1 + ln(1 / COMMON)),
-at most 1: only shingles in at least the share COMMON of all documents weigh less than 1. There are never more than
-(shingles per document) / COMMON of those, however many documents there are, which bounds what is broadcast. A sketch of
-all documents' shingles names the candidates, a second pass counts them exactly.
+The weight of a shingle in a document is (1 + ln tf) * idf. The idf, 1 + ln((1 + N) / (1 + df)), is taken relative to its
+value at the share COMMON of all documents, and is at most 1: what a group of copies shares is not what makes text
+common, unless the group is that large. There are never more than (shingles per document) / COMMON shingles of less
+weight, however many documents there are, which bounds what is broadcast. A sketch of all documents' shingles names the
+candidates, a second pass counts them exactly.
 
 Nulls, ties and odd rows: a null text is empty; a text without words is in a class of its own; a text of fewer than five
 words has one shingle of all its words; equal word sequences are one class without sampling. Rows without doc_id are in
@@ -23,7 +24,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: 10 bands of 3 samples meet at similarity 0.8 with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992.
 BANDS, ROWS = 10, 3
 #: Share of the documents from which on a shingle counts as common.
-COMMON = 0.01
+COMMON = 0.1
 #: Counters of the sketch. With L shingles a document, a counter holds L / (SLOTS * COMMON) of the threshold by chance.
 SLOTS_LOG2 = 19
 SLICE = 1 << 15
@@ -56,6 +57,11 @@ def _add_slices(batches):
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["slice", "docs", "n"])
 
 
+def least_common(total: int) -> int:
+    """The document frequency from which on a shingle counts as common."""
+    return max(2, int(np.ceil(COMMON * total)))
+
+
 def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Documents with words, and the sorted ids and document frequencies of all shingles in at least COMMON of them (and in two)."""
     text = docs.select("text")
@@ -70,7 +76,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             total += r["docs"]
         else:
             counters[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["n"], "<i8")
-    least = max(2, int(np.ceil(COMMON * total)))
+    least = least_common(total)
     hot = counters >= least
 
     def count(batches):
@@ -92,7 +98,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 class Weigher:
     def __init__(self, total: int, ids: np.ndarray, df: np.ndarray) -> None:
         self.ids = ids
-        self.idf = np.minimum(1.0, (1 + np.log((1 + total) / (1 + df))) / (1 + np.log(1 / COMMON)))
+        self.idf = np.minimum(1.0, (1 + np.log((1 + total) / (1 + df))) / (1 + np.log((1 + total) / (1 + least_common(total)))))
 
     def __call__(self, sid: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = 1 + np.log(tf)
