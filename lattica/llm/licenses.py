@@ -60,7 +60,8 @@ class Scanner:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, (text, label) in enumerate(notices):
             k = len(text) // error_every
-            self.notices.append((text, label, k, regex.compile(f"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}")))
+            # One pattern for each number of edits: the first that matches tells the fewest.
+            self.notices.append((text, label, k, [regex.compile(f"(?:{regex.escape(text, literal_spaces=True)}){{e<={e}}}") for e in range(k + 1)]))
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(text[a:b], []).append((i, a))
@@ -78,7 +79,7 @@ class Scanner:
                 spots.setdefault(i, []).append((max(0, begin - k), begin + n + k))
         out = []
         for i, windows in spots.items():
-            _, label, _, pattern = self.notices[i]
+            _, label, _, patterns = self.notices[i]
             windows.sort()
             joined = [windows[0]]
             for a, b in windows[1:]:
@@ -87,7 +88,13 @@ class Scanner:
                 else:
                     joined.append((a, b))
             for a, b in joined:
-                out += [(label, a + m.start(), a + m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(text[a:b])]
+                todo = [(a, min(b, len(text)))]
+                while todo:
+                    a, b = todo.pop()
+                    m = next((m for p in patterns if (m := p.search(text, a, b))), None)
+                    if m is not None:
+                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        todo += [(x, y) for x, y in ((a, m.start()), (m.end(), b)) if y - x >= len(self.notices[i][0]) - self.notices[i][2]]
         return sorted(out, key=lambda x: (x[1], x[3], x[0]))
 
     def scan(self, texts: list[bytes]) -> list[tuple]:
