@@ -121,8 +121,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, whole, with all columns of docs."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    bad = contamination(docs, items).where("contaminated").select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).alias("contaminated_text"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["contaminated_text"]["d"]) & (F.xxhash64(docs["text"]) == bad["contaminated_text"]["t"]), "left_anti")
 
 
 ORACLE = r"""
