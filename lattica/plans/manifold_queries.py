@@ -221,7 +221,7 @@ def geo23(spark, sf):
 
 
 PRODUCT = "x.ar * s.ar - x.ai * s.ai + x.br * s.br + x.bi * s.bi AS ar, x.ar * s.ai + x.ai * s.ar - x.br * s.bi + x.bi * s.br AS ai, x.ar * s.br - x.ai * s.bi + x.br * s.ar + x.bi * s.ai AS br, x.ar * s.bi + x.ai * s.br - x.br * s.ai + x.bi * s.ar AS bi"
-KEYED = "(round(ar, 6) + 0.0) AS ar, (round(ai, 6) + 0.0) AS ai, (round(br, 6) + 0.0) AS br, (round(bi, 6) + 0.0) AS bi"
+KEYED = ", ".join(f"{r(x)} AS {x}" for x in ("ar", "ai", "br", "bi"))
 
 
 def group_rows(spark, ball):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+BIAS = 1.3e-10
 MODULES = ("graph_queries", "manifold_queries", "clustering_queries", "run_queries")
 
 
@@ -29,11 +30,11 @@ def load() -> None:
 
 
 def r(x: str) -> str:
-    """Rounded to six decimals, without a negative zero."""
-    return f"(round({x}, 6) + 0.0)"
+    """Rounded to six decimals, without a negative zero; BIAS keeps halves from falling either way."""
+    return f"(round({x} + {BIAS}, 6) + 0.0)"
 
 
 def rounded(x, alias: str):
     from pyspark.sql import functions as F
 
-    return (F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)).alias(alias)
+    return (F.round((F.col(x) if isinstance(x, str) else x) + F.lit(BIAS), 6) + F.lit(0.0)).alias(alias)

@@ -28,7 +28,7 @@ def online_quantization(points: DataFrame, k: int, gamma0: float = 1.0, decay: f
         centers = [np.array(c, float) for c in centers]
         rows = pd.concat(list(batches)).sort_values(["ts", "point_id"])
         for x in rows["x"]:
-            x = np.asarray(x, float)
+            x = np.array(x, float)
             if len(centers) < k:
                 centers.append(x)  # the first k points are the first centers
                 continue
