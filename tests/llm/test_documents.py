@@ -280,15 +280,16 @@ def brute_lines(rows):
     norm, first = {}, {}
     for doc, h, text in rows:
         for i, line in enumerate(text.split("\n")):
-            if w := tuple(line_words(line)):
+            if w := line.strip(line_dedup.SEPARATORS).lower():
                 norm[doc, h, i] = w
                 first[w] = min(first.get(w, (doc, h, i)), (doc, h, i))
 
     def sim(w):
-        hashes = [spark_hash(x) for x in w if len(x) >= line_dedup.LONG]
+        hashes = [spark_hash(x) for x in line_words(w) if len(x) >= line_dedup.LONG]
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else None
 
     distinct = sorted(first)
+    split = [tuple(line_words(w)) for w in distinct]
     sims = [sim(w) for w in distinct]
     root = list(range(len(distinct)))
 
@@ -300,8 +301,8 @@ def brute_lines(rows):
     for i in range(len(distinct)):
         for j in range(i):
             if sims[i] is not None and sims[j] is not None and (sims[i] ^ sims[j]).bit_count() <= line_dedup.DISTANCE:
-                longest = max(len(distinct[i]), len(distinct[j]))
-                if edits(distinct[i], distinct[j]) <= math.floor(longest * (1 - line_dedup.SIMILARITY) + 1e-9):
+                longest = max(len(split[i]), len(split[j]))
+                if edits(split[i], split[j]) <= math.floor(longest * (1 - line_dedup.SIMILARITY) + 1e-9):
                     root[find(i)] = find(j)
     least = {}
     for i, w in enumerate(distinct):
