@@ -6,7 +6,7 @@ common, unless the group is that large. There are never more than (shingles per
 weight, however many documents there are, which bounds what is broadcast. A sketch of all documents' shingles names the
 candidates, a second pass counts them exactly.
 
-Nulls, ties and odd rows: a null text is empty; a text without words is in a class of its own; a text of fewer than five
+Nulls, ties and odd rows: a null text is empty; a text without words is in a class with equal texts only; a text of fewer than five
 words has one shingle of all its words; equal word sequences are one class without sampling. Rows without doc_id are in
 no class (`classes` leaves them out, `dedup` keeps them). Rows that repeat a doc_id are one document. Other columns are
 not read, whatever their names.
@@ -14,6 +14,8 @@ not read, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -157,7 +159,12 @@ def signatures(docs: DataFrame, weigher: Weigher) -> DataFrame:
             ids, texts = batch.column(0), common.texts_of(batch.column(1))
             for first, some in common.blocks(texts):
                 of, sid, tf, n, whole = words.shingles(some, WIDTH)
-                full = np.flatnonzero(n > 0)
+                full, bare = np.flatnonzero(n > 0), np.flatnonzero(n == 0)
+                if len(bare):  # no words: known by the text itself, in no band
+                    own = [hashlib.blake2b(some[i], digest_size=16).digest() for i in bare]
+                    h = [pa.array(np.frombuffer(b"".join(own), "<i8")[k::2]) for k in (0, 1)]
+                    empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(bare) + 1, np.int32)), pa.array([], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(bare + first)), *h, pa.array(np.zeros(len(bare))), empty], ["doc_id", "h1", "h2", "weight", "bands"])
                 if not len(full):
                     continue
                 w = weigher(sid, tf)

@@ -153,7 +153,7 @@ def test_weighted_similarity_matrix_is_exact():
 def test_near_dup_on_odd_rows(odd):
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(odd).collect()}
     assert sorted(got) == list(range(18))
-    assert got[4] == got[6] == 4 and got[7] == got[8] == got[9] == 7 and got[0] == 0 and got[1] == 1 and got[2] == 2
+    assert got[4] == got[6] == 4 and got[7] == got[8] == got[9] == 7 and got[0] == got[1] == 0 and got[2] == 2 and got[3] == 3
     kept = near_dup.dedup(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
     assert sorted(r[0] for r in kept.where("doc_id is not null").select("doc_id").collect()) == sorted(k for k, v in got.items() if k == v)
