@@ -36,6 +36,13 @@ class MetricGraph:
     def spark(self) -> SparkSession:
         return self.edges.sparkSession
 
+    @property
+    def few_nodes(self) -> bool:
+        """Whether tables with a row per node may be broadcast."""
+        if "few" not in self._cache:
+            self._cache["few"] = self.nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return self._cache["few"]
+
     # Validation.
 
     def invalid_edges(self) -> DataFrame:
@@ -140,10 +147,22 @@ class MetricGraph:
         frame = pd.DataFrame({"s": s.ravel(), "t": t.ravel(), "d": d.ravel()})
         return stored(self.spark.createDataFrame(frame, "s string, t string, d double"))
 
-    def joined_paths(self) -> DataFrame:
-        """Min-plus squaring: paths of twice as many edges in each round, until none gets shorter."""
-        ids = self.nodes.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d"))
-        now = stored(both_ways(self.edges).toDF("s", "t", "d").unionAll(ids).groupBy("s", "t").agg(F.min("d").alias("d")))
+    def joined_paths(self, rounds: int = 32) -> DataFrame:
+        """Shortest paths by joins. Each round extends the paths that the last one shortened by one edge, so that a sparse
+        graph costs nodes x nodes x degree rows a round; a graph with paths of more edges than rounds goes on to squaring."""
+        steps = stored(both_ways(self.edges).groupBy("u", "v").agg(F.min("length").alias("length")), "edges")
+        now = front = stored(self.nodes.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0.0).alias("d")))
+        for _ in range(rounds):
+            longer = front.join(steps, front["t"] == steps["u"]).groupBy("s", F.col("v").alias("t")).agg(F.min(F.col("d") + F.col("length")).alias("new"))
+            both = now.join(longer, ["s", "t"], "full").withColumn("shorter", F.col("d").isNull() | (F.col("new") < F.col("d") - 1e-12))
+            both = stored(both.select("s", "t", F.when(F.col("shorter"), F.col("new")).otherwise(F.col("d")).alias("d"), F.coalesce("shorter", F.lit(False)).alias("shorter")))
+            now, front = both.select("s", "t", "d"), both.where("shorter").select("s", "t", "d")
+            if front.isEmpty():
+                return now
+        return self.squared_paths(now)
+
+    def squared_paths(self, now: DataFrame) -> DataFrame:
+        """Min-plus squaring of (s, t, d): paths of twice as many edges in each round, until none gets shorter."""
         mark = now.agg(F.count("*"), F.sum("d")).first()
         while True:
             again = now.select(F.col("s").alias("t"), F.col("t").alias("far"), F.col("d").alias("more"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.storage import stored
-from .energy import empirical_energy
 from .graph import MetricGraph
 from .spaces import GraphSpace, Space
 from .updates import farthest_point, least_energy_node, node_centers
@@ -35,11 +34,11 @@ def lloyd(space: Space, points: DataFrame, centers: DataFrame, update: Update, m
     """Assign, update, reseed, until the empirical energy changes by less than tolerance: (centers, energy, iterations)."""
     columns = [c for c in centers.columns if c in ("cid", "u", "v", "pos", "x")]
     now, k = stored(centers.select(*columns)), centers.count()
-    before, i = None, 0
+    labelled, before, i = stored(space.assign(points, now), "labelled"), None, 0
     for i in range(1, max_iterations + 1):
-        new = stored(update(space.assign(points, now)).select(*columns))
-        now = reseed(space, points, now, new, k)
-        energy = empirical_energy(space, points, now).first()["energy"]
+        now = reseed(space, points, now, stored(update(labelled).select(*columns)), k)
+        labelled = stored(space.assign(points, now), "labelled")  # gives this round's energy and the next one's clusters
+        energy = labelled.agg(F.avg(F.col("d") * F.col("d"))).first()[0]
         if before is not None and abs(before - energy) < tolerance:
             return now, energy, i
         before = energy

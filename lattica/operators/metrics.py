@@ -41,12 +41,10 @@ def normalized_mutual_info(rows: DataFrame, a: str, b: str) -> DataFrame:
 def silhouette(space: Space, labelled: DataFrame, label: str = "label") -> DataFrame:
     """Mean silhouette over exact distances; 0 for the only point of a cluster. labelled: the space's points with a label.
 
-    Distances are summed by (point, other label) as they are made; the pairs themselves are not kept. Quadratic in points.
+    Distances are summed by (point, other label) as they are made; the pairs themselves are not kept. The number of
+    distances is quadratic in the points, by definition.
     """
-    half = space.pairs(labelled)
-    both = half.unionAll(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    of = labelled.select(F.col("point_id").alias("j"), F.col(label).alias("lj"))
-    sums = both.join(F.broadcast(of), "j").groupBy("i", "lj").agg(F.sum("d").alias("s"), F.count("*").alias("m"))
+    sums = space.label_sums(labelled, label)
     own = labelled.select(F.col("point_id").alias("i"), F.col(label).alias("li"))
     per = own.join(sums, "i", "left").groupBy("i").agg(
         F.max(F.when(F.col("lj") == F.col("li"), F.col("s") / F.col("m"))).alias("a"),

@@ -9,15 +9,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bolza as B
 from ..functions import geometry as G
-from .graph import BROADCAST_ROWS, MetricGraph, same_edge
+from .graph import MetricGraph, same_edge
 
 MAX_CENTERS = 10_000
 #: Products written out as code; longer ones go through higher-order functions.
 UNROLLED = 4_096
+#: Inner products of two columns are written out for fewer dimensions than this.
+WRITTEN_OUT = 8
+#: Points of a block, where all distances between two blocks are one matrix product.
+BLOCK = 512
 
 
 class Space:
@@ -38,6 +43,13 @@ class Space:
         """(i, j, d) of all pairs of points; without b, those with i < j."""
         raise NotImplementedError
 
+    def label_sums(self, labelled: DataFrame, label: str) -> DataFrame:
+        """(i, lj, s, m): for every point and label, the sum of distances to that label's other points, and how many."""
+        half = self.pairs(labelled)
+        both = half.unionAll(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+        of = labelled.select(F.col("point_id").alias("j"), F.col(label).alias("lj"))
+        return both.join(F.broadcast(of), "j").groupBy("i", "lj").agg(F.sum("d").alias("s"), F.count("*").alias("m"))
+
     def random_points(self, n: int, seed: int) -> np.ndarray:
         raise NotImplementedError(f"{type(self).__name__} has no uniform sampling")
 
@@ -92,6 +104,9 @@ class Sphere(Manifold):
     name = "sphere"
 
     def between(self, x, y):
+        if self.dim < WRITTEN_OUT:  # as plain code, which is compiled; higher-order functions are interpreted
+            inner = sum((F.get(x, F.lit(i)) * F.get(y, F.lit(i)) for i in range(self.dim + 1)), F.lit(0.0))
+            return F.acos(G.clipped(inner, -1.0, 1.0))
         return G.sphere_distance(x, y)
 
     def to_constant(self, x, y):
@@ -101,6 +116,30 @@ class Sphere(Manifold):
     def belongs(self, x: str = "x", atol: float = 1e-6) -> Column:
         return (F.size(x) == self.dim + 1) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (F.abs(G.norm(x) - 1) < atol)
 
+    def label_sums(self, labelled, label):
+        """Blocks of points instead of pairs: BLOCK x BLOCK distances are one matrix product, and only sums leave it."""
+        kind = labelled.schema[label].dataType.simpleString()
+        block = F.pmod(F.xxhash64("point_id"), F.lit(max(1, -(-labelled.count() // BLOCK)))).cast("int")
+        packed = labelled.select(block.alias("b"), F.struct("point_id", F.col(label).alias("l"), "x").alias("p")).groupBy("b").agg(F.collect_list("p").alias("ps"))
+        both = packed.crossJoin(packed.select(F.col("b").alias("c"), F.col("ps").alias("qs")))
+
+        def sums(batches):
+            for batch in batches:
+                for ps, qs in zip(batch["ps"], batch["qs"]):
+                    p, q = ([r["point_id"] for r in side] for side in (ps, qs))
+                    x, y = (np.array([r["x"] for r in side], float) for side in (ps, qs))
+                    of = pd.Series([r["l"] for r in qs])
+                    names = list(of.unique())
+                    one = (of.to_numpy()[:, None] == np.array(names, object)[None, :]).astype(float)
+                    d, other = np.arccos(np.clip(x @ y.T, -1, 1)), np.array(p, object)[:, None] != np.array(q, object)[None, :]
+                    s, m = (d * other) @ one, other.astype(float) @ one
+                    i, k = np.nonzero(m)
+                    yield pd.DataFrame({"i": [p[a] for a in i], "lj": [names[a] for a in k], "s": s[i, k], "m": m[i, k].astype("int64")})
+
+        id_kind = labelled.schema["point_id"].dataType.simpleString()
+        parts = both.select("ps", "qs").repartition(labelled.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(sums, f"i {id_kind}, lj {kind}, s double, m long")
+        return parts.groupBy("i", "lj").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
+
     def random_points(self, n, seed):
         v = np.random.default_rng(seed).standard_normal((n, self.dim + 1))
         return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -152,8 +191,7 @@ class GraphSpace(Space):
         per_node = near.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("cid", "d"))).alias("near"))
         own = self.graph.with_length(centers).select(F.struct("cid", F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("pos").alias("cpos")).alias("c"))
         all_centers = own.agg(F.array_sort(F.collect_list("c")).alias("centers"))
-        small = self.graph.nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        hint = F.broadcast if small else (lambda t: t)
+        hint = F.broadcast if self.graph.few_nodes else (lambda t: t)
         x = self.graph.with_length(points).crossJoin(F.broadcast(all_centers))
         x = x.join(hint(per_node.toDF("u", "near_u")), "u").join(hint(per_node.toDF("v", "near_v")), "v")
         i = F.sequence(F.lit(0), F.size("centers") - 1)

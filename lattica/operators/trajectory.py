@@ -52,15 +52,16 @@ def with_memory(trajectory: DataFrame, width: int | None = None) -> DataFrame:
 def resampled(trajectory: DataFrame, grid: DataFrame) -> DataFrame:
     """(run_slot, t, energy) at the grid's times, piecewise linear; the end values beyond the ends.
 
-    One ordered pass over samples and grid together carries the last sample forward and the next one back.
+    Two ordered passes over samples and grid together, up and down, carry the last sample to each grid time and the next
+    one back; both frames only grow, so that a run costs its rows and no more.
     """
     samples = trajectory.select("run_slot", "t", "energy", F.lit(0).alias("is_grid"))
     runs = trajectory.select("run_slot").distinct()
     asked = runs.crossJoin(F.broadcast(grid.select("t"))).select("run_slot", "t", F.lit(None).cast("double").alias("energy"), F.lit(1).alias("is_grid"))
     ahead = Window.partitionBy("run_slot").orderBy("t", "is_grid").rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy("run_slot").orderBy("t", "is_grid").rowsBetween(0, Window.unboundedFollowing)
+    behind = Window.partitionBy("run_slot").orderBy(F.desc("t"), F.desc("is_grid")).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("is_grid") == 0, F.struct("t", "energy"))
-    x = samples.unionAll(asked).withColumns({"a": F.last(point, True).over(ahead), "b": F.first(point, True).over(behind)}).where("is_grid = 1")
+    x = samples.unionAll(asked).withColumns({"a": F.last(point, True).over(ahead), "b": F.last(point, True).over(behind)}).where("is_grid = 1")
     a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
     value = F.when(b["t"] == a["t"], a["energy"]).otherwise(a["energy"] + (b["energy"] - a["energy"]) * (F.col("t") - a["t"]) / (b["t"] - a["t"]))
     return x.select("run_slot", "t", value.alias("energy"))
