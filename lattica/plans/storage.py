@@ -9,9 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one becomes it where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder becomes it on a local master, as in tests; on a cluster that is refused, as
+    executors would not see each other's files.
+    """
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        context = spark.sparkContext
+        found = context.getCheckpointDir()
+        if not found:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
