@@ -1,14 +1,14 @@
-"""What several operators share: tables in the shared folder, connected components, and word hashing on byte blocks."""
+"""What several operators share: tables, connected components, and word hashing on byte blocks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.storage import shared_dir, stored
+
 #: Word bytes: 0-9, A-Z, a-z and everything outside ASCII.
 WORD = np.zeros(256, bool)
 WORD[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
@@ -23,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one becomes it."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lattica-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, comp) for every end of edges (src, dst), of any orderable type; comp is the smallest id that can be reached.
 
@@ -185,3 +170,6 @@ def texts_of(column) -> list[bytes]:
     import pyarrow as pa
 
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+__all__ = ["BETWEEN_WORDS", "LOWER", "WORD", "Words", "blocks", "connected_components", "cross_pairs", "mix", "shared_dir", "star_pairs", "stored", "table", "texts_of"]
