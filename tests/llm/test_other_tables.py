@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zipfile
 from collections import Counter
 
@@ -14,6 +15,8 @@ import pytest
 import corpus_pipeline
 from lattica.llm import ann, chat_quotes, common, queries, url_filter, wacz
 
+from .test_documents import brute, brute_classes, brute_lines, rand_words, words
+
 # URL filters.
 
 
@@ -184,6 +187,62 @@ def test_quotes(spark):
     assert chat_quotes.link(df.limit(0)).count() == 0
 
 
+def brute_links(rows):
+    """(conv, turn) to (reply, thread, depth), by reading everything again and again."""
+    plain = lambda t: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()))
+    parsed, units = {}, {}
+    for conv, turn, text in rows:
+        passages = []
+        for line in text.split("\n"):
+            mark = re.match(r"(\s*>)+", line)
+            level = sum(c == ">" for c in mark[0]) if mark else 0
+            body = re.sub(r"^(\s*>)+ ?", "", line)
+            if passages and passages[-1][0] == level:
+                passages[-1][1].append(body)
+            else:
+                passages.append((level, [body]))
+        parsed[conv, turn] = passages
+        own = [lines for level, lines in passages if level == 0]
+        whole = [" ".join(lines) for lines in own]
+        for u in {plain(" ".join(whole)), *map(plain, whole), *(plain(x) for lines in own for x in lines)} - {""}:
+            units.setdefault(u, set()).add((conv, turn))
+    reply = {}
+    for at, passages in parsed.items():
+        found = []
+        for level, lines in passages:
+            if level:
+                for nr, u in [(True, plain(" ".join(lines))), *((False, plain(x)) for x in lines)]:
+                    who = units.get(u, set()) if u else set()
+                    here, far = min([w for w in who if w[0] == at[0]], default=None), min(who, default=None)
+                    to = here if here and here < at else far if far and far < at else None
+                    if to:
+                        found.append((nr, -level, to))
+        if found:
+            reply[at] = max(found)[2]
+    out = {}
+    for at in parsed:
+        root, depth = at, 0
+        while root in reply:
+            root, depth = reply[root], depth + 1
+        out[at] = reply.get(at), root, depth
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng, rows = random.Random(9), []
+    said = ["yes", "No!", "the first idea", "a second, longer idea", "what about that"]
+    for conv in range(40):
+        for turn in range(rng.randint(1, 6)):
+            lines = [("> " * rng.choice((0, 0, 0, 1, 1, 2))) + rng.choice(said + [f"own {conv} {turn}", "..."]) for _ in range(rng.randint(1, 5))]
+            if rows and rng.random() < 0.5:
+                lines = ["> " + x for x in rng.choice(rows)[2].split("\n")] + lines
+            rows.append((conv, turn, "\n".join(lines)))
+    got = chat_quotes.link(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    want = brute_links(rows)
+    assert {(r["conv_id"], r["turn"]): ((r["reply_conv"], r["reply_turn"]) if r["reply_conv"] is not None else None, (r["thread_conv"], r["thread_turn"]), r["depth"]) for r in got} == want
+    assert max(d for _, _, d in want.values()) > 3
+
+
 def test_a_long_thread(spark):
     """A chain of replies, each quoting the one before."""
     rows = [(1, 0, "u", "message number 0")] + [(1, i, "u", f"> message number {i - 1}\nmessage number {i}") for i in range(1, 40)]
@@ -229,6 +288,45 @@ def test_pipeline_stages(spark, sf):
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages in plain Python, over texts that each of them has something to do with."""
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    items = [(i, " ".join(rand_words(rng, rng.choice((5, 13, 30))))) for i in range(4)]
+    shared = " ".join(rand_words(rng, 30))
+    base = [rand_words(rng, 150) for _ in range(6)]
+    texts = [None, "", "... ???", "123 456", "word"]
+    for i in range(40):
+        own = list(base[i % 6])
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(10**5)}"
+        lines = [" ".join(own[k : k + 75]) for k in (0, 75)] + [shared] * (i % 3 == 0) + [" ".join(rand_words(rng, 40))] * (i % 4 == 0) + ["", "   "] * (i % 5 == 0)
+        texts.append("\n".join(lines) + (" " + items[i % 4][1] if i % 7 == 0 else ""))
+    texts += [texts[8], items[2][1], f"few words {items[0][1]} around it"]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("text")).collect()}
+    keep = brute_lines([(i, hashes[i], t) for i, t in kept.items()])
+    left = {}
+    for i, t in kept.items():
+        gone = {k for k, _ in enumerate(t.split("\n")) if keep.get((i, hashes[i], k), (i, hashes[i], k)) != (i, hashes[i], k)}
+        rest = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        if not gone or words(rest):
+            left[i] = rest
+    classes = brute_classes(list(left), list(left.values()))
+    left = {i: t for i, t in left.items() if classes[i] == i and not brute(t, items)[4]}
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.sentencepiece_model())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted((i, len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids))) for i, t in left.items() for ids in [model.encode(t)])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+    assert 10 < len(want) < len(texts) - 10
+
+
 def test_pipeline_on_empty_documents(spark, sf, tmp_path):
     common.table(spark, sf, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     common.table(spark, sf, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
