@@ -76,16 +76,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def blocks(texts: list[bytes], size: int = 1 << 20, rows: int = 4000) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) in runs of about size bytes; a longer text is a run of its own, whole."""
+def spans(lengths: list[int], size: int = 1 << 20, rows: int = 4000) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of about size bytes; a longer row is a run of its own, whole."""
     first, total = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and (total + len(t) > size or i - first >= rows):
-            yield first, texts[first:i]
+    for i, n in enumerate(lengths):
+        if i > first and (total + n > size or i - first >= rows):
+            yield first, i
             first, total = i, 0
-        total += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
+        total += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+def blocks(texts: list[bytes], size: int = 1 << 20, rows: int = 4000) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of such runs."""
+    for a, b in spans([len(t) for t in texts], size, rows):
+        yield a, texts[a:b]
 
 
 class Words:
@@ -165,6 +171,13 @@ def _fold(x: np.uint64, w: np.uint64) -> np.uint64:
     return mix(np.array([int(x) * 0x9E3779B97F4A7C15 + int(w) & (1 << 64) - 1], np.uint64))[0]
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in slices of so many rows, so that what is unpacked at a time stays small whatever the batches hold."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def texts_of(column) -> list[bytes]:
     """Arrow strings as UTF-8; null is empty."""
     import pyarrow as pa
@@ -172,4 +185,4 @@ def texts_of(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-__all__ = ["BETWEEN_WORDS", "LOWER", "WORD", "Words", "blocks", "connected_components", "cross_pairs", "mix", "shared_dir", "star_pairs", "stored", "table", "texts_of"]
+__all__ = ["BETWEEN_WORDS", "LOWER", "WORD", "Words", "blocks", "connected_components", "cross_pairs", "mix", "shared_dir", "slices", "spans", "star_pairs", "stored", "table", "texts_of"]

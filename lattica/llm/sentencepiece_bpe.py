@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Distinct words that a worker remembers; beyond, it forgets and encodes them again.
@@ -54,14 +56,21 @@ class Vocabulary:
                     keys.append(symbols[p[:j]] << 32 | symbols[p[j:]])
                     ranks.append(order[-model.get_score(i)])
                     merged.append(i)
-        at = np.argsort(np.array(keys, np.int64))
-        self.keys = np.array(keys, np.int64)[at]
-        self.ranks, self.merged = np.array(ranks, np.int32)[at], np.array(merged, np.int32)[at]
+        # Pairs in a table with open addressing, at most a quarter full.
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.ranks, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32), np.zeros(1 << self.bits, np.int32)
+        for key, rank, into, at in zip(keys, ranks, merged, self.slots(np.array(keys, np.int64)).tolist()):
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.ranks[at], self.merged[at] = key, rank, into
         self.bigrams = np.array(sorted(bigrams), np.int64)
         chars = [(ord(s), i) for s, i in symbols.items() if len(s) == 1]
         self.chars = np.array(chars, np.int64)
         self.size = size
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
 
 class Codec:
     """encode() and decode() of one vocabulary."""
@@ -79,9 +88,15 @@ class Codec:
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs; NONE where there is none. Symbols below 0 have no pair."""
         key = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
-        at = np.minimum(np.searchsorted(self.v.keys, key), len(self.v.keys) - 1)
-        hit = (self.v.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.v.ranks[at], NONE), self.v.merged[at]
+        key[(left < 0) | (right < 0)] = -2
+        at = self.v.slots(key)
+        found = self.v.keys[at]
+        lost = np.flatnonzero((found != key) & (found >= 0))
+        while len(lost):
+            at[lost] = (at[lost] + 1) & (len(self.v.keys) - 1)
+            found[lost] = self.v.keys[at[lost]]
+            lost = lost[(found[lost] != key[lost]) & (found[lost] >= 0)]
+        return np.where(found == key, self.v.ranks[at], NONE), self.v.merged[at]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all words in order (below 0: character -1 - symbol, which no piece has), word of each, and index of its first character."""
@@ -137,9 +152,11 @@ class Codec:
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
             index = np.cumsum(keep) - 1
-            changed = index[hit]
             sym, seg, place, rank, into = (x[keep] for x in (sym, seg, place, rank, into))
-            changed = np.unique(np.concatenate([changed, changed[changed > 0] - 1]))
+            touched = np.zeros(len(sym) + 1, bool)
+            touched[index[hit]] = touched[index[hit] - 1] = True  # -1 falls on the spare place
+            touched[-1] = False
+            changed = np.flatnonzero(touched[:-1])
             inner = changed < len(sym) - 1
             rank[changed] = NONE
             changed = changed[inner]
@@ -230,7 +247,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for some in runs(texts):
