@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mix
+from .common import mix, slices
 
 PROFILE = 300
 UNDETERMINED = "und"
@@ -86,7 +86,7 @@ def learned(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             key, back = np.unique(np.concatenate(keys), return_inverse=True)
             return key, np.bincount(back, np.concatenate(ns), len(key)).astype(np.int64)
 
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.column(1).to_pylist()
             keys, ns = [total_keys], [total_n]
             for first, texts in runs([t or "" for t in batch.column(0).to_pylist()]):
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | N
 
     def judge(batches):
         of = Judge(*model)
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = of([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -160,7 +160,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
     def keep(batches):
         of = Judge(*model)
-        for batch in batches:
+        for batch in slices(batches):
             names, _ = of([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()))
 

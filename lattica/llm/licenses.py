@@ -148,7 +148,7 @@ def scan(docs: DataFrame, notices=NOTICES, error_every: int = ERROR_EVERY) -> Da
         scanner = Scanner(notices, error_every)
         spans = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64())]))
         kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(), spans)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = [r for _, texts in common.blocks(common.texts_of(batch.column(1))) for r in scanner.scan(texts)]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *COLUMNS])
