@@ -35,7 +35,7 @@ SLICE = 1 << 15
 def _sketch(batches):
     """Per task: counters of all its shingles, as slices of (slot, count) pairs."""
     words, counters, docs = common.Words(), np.zeros(1 << SLOTS_LOG2, np.int64), 0
-    for batch in batches:
+    for batch in common.slices(batches):
         for _, texts in common.blocks(common.texts_of(batch.column(0))):
             _, sid, _, n, _ = words.shingles(texts, WIDTH)
             np.add.at(counters, (sid >> np.uint64(52 - SLOTS_LOG2)).astype(np.int64), 1)
@@ -83,7 +83,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
     def count(batches):
         words, ids, counts = common.Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in common.slices(batches):
             for _, texts in common.blocks(common.texts_of(batch.column(0))):
                 _, sid, _, _, _ = words.shingles(texts, WIDTH)
                 new, n = np.unique(sid[hot[(sid >> np.uint64(52 - SLOTS_LOG2)).astype(np.int64)]], return_counts=True)
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, weigher: Weigher) -> DataFrame:
 
     def sign(batches):
         words, sampler = common.Words(), Sampler(BANDS * ROWS)
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = batch.column(0), common.texts_of(batch.column(1))
             for first, some in common.blocks(texts):
                 of, sid, tf, n, whole = words.shingles(some, WIDTH)
@@ -190,12 +190,11 @@ def verified(pairs: DataFrame, docs: DataFrame, weigher: Weigher) -> DataFrame:
 
     def verify(batches):
         words = common.Words()
-        for batch in batches:
+        for batch in common.slices(batches):
             a, b = (common.texts_of(batch.column(k)) for k in (2, 3))
-            at = 0
-            for _, both in common.blocks([x + b"\n" + y for x, y in zip(a, b)], rows=2000):
-                m = len(both)
-                of, sid, tf, _, _ = words.shingles(a[at : at + m] + b[at : at + m], WIDTH)
+            for at, end in common.spans([len(x) + len(y) for x, y in zip(a, b)], rows=2000):
+                m = end - at
+                of, sid, tf, _, _ = words.shingles(a[at:end] + b[at:end], WIDTH)
                 w = weigher(sid, tf)
                 cut = np.searchsorted(of, m)
                 ka = (of[:cut].astype(np.uint64) << np.uint64(52)) | sid[:cut]
@@ -209,7 +208,6 @@ def verified(pairs: DataFrame, docs: DataFrame, weigher: Weigher) -> DataFrame:
                 alike = shared / np.maximum(total - shared, 1e-300)
                 keep = np.flatnonzero(alike >= SIMILARITY - 1e-12) + at
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(alike[keep - at])], ["a", "b", "similarity"])
-                at += m
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
@@ -293,7 +291,7 @@ def linked(dealt: DataFrame, docs: DataFrame, weigher: Weigher) -> DataFrame:
             return [(ids[i[k]], ids[j[k]]) for k in forest(len(rows), i, j, comp)]
 
         kind = None
-        for batch in batches:
+        for batch in common.slices(batches):
             kind = batch.schema.field(1).type
             found = []
             for k, i, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), common.texts_of(batch.column(3))):
