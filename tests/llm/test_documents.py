@@ -341,6 +341,42 @@ def test_lines_against_brute_force(spark, small, monkeypatch):
         assert got == want
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    """Lines of 1 to 130 words with up to a fifth and a bit of the words edited, against all pairs' edit similarity."""
+    rng = random.Random(11)
+    common_words, texts = rand_words(rng, 30), []
+    for n in [*range(1, 27), 31, 35, 36, 40, 64, 99, 130]:
+        base = [rng.choice(common_words) if rng.random() < 0.4 else w for w in rand_words(rng, n)]
+        short = [w[:4] for w in rand_words(rng, n)]  # no word of five characters
+        for source in (base, short):
+            texts.append(" ".join(source))
+            for edits_ in sorted({1, n // 10, n // 5, n // 5 + 1} - {0}):
+                own = list(source)
+                for at in (range(0, 5 * edits_, 5) if rng.random() < 0.5 and 5 * edits_ <= n else rng.sample(range(n), edits_)):
+                    own[at] = rng.choice(("", "x" + own[at], own[at] + " new"))
+                texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = [tuple(line_words(t)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = set()
+    for i, x in enumerate(split):
+        for j, y in enumerate(split[:i]):
+            allowed = math.floor(max(len(x), len(y)) * 0.2 + 1e-9)
+            if x and y and abs(len(x) - len(y)) <= allowed and edits(x, y) <= allowed:
+                linked.add(round(1 - edits(x, y) / max(len(x), len(y)), 1))
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {0.8, 0.9} <= linked
+    got = {r["id"]["doc_id"]: r["kept"]["doc_id"] for r in line_dedup.groups(df).collect()}
+    assert got == {i: find(i) for i, x in enumerate(split) if x}
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = {r["doc_id"]: r for r in line_dedup.report(odd).collect() if r["doc_id"] is not None}
     assert line_dedup.report(odd).count() == odd.count()
