@@ -15,6 +15,7 @@ from lattica.operators import sampling as P
 from lattica.operators import trajectory as T
 from lattica.operators import updates as U
 from lattica.operators.spaces import Bolza, GraphSpace, Hyperboloid, Sphere
+from lattica.plans import registry
 from lattica.plans.storage import stored
 from lattica.sources import graphs as S
 from lattica.sources import nets as N
@@ -298,3 +299,34 @@ def test_online_quantization_stream(spark, tmp_path):
     assert all(np.linalg.norm(r["x"]) == pytest.approx(1) for r in spark.table("centers").collect())
     e = spark.createDataFrame([(r[0], r[1], 1.0) for r in rows], "run_slot int, ts timestamp, energy double")
     assert online.energy_per_window(e, width="30 minutes").agg(F.sum("n")).first()[0] == 60
+
+
+WHOLE = {"geo23_translations": 8, "geo27_quotient_distance": 1, "geo28_in_domain": 1, "geo30_nearest_copy": 1, "geo33_geodesic_arc": 10}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_manifold_queries_over_whole_tables(spark, sf, name):
+    registry.load()
+    n = len(spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    whole = {tuple(r) for r in registry.QUERIES[f"{name}_whole"](spark, sf).collect()}
+    some = {tuple(r) for r in registry.QUERIES[name](spark, sf).collect()}
+    points = n if name in ("geo23_translations", "geo28_in_domain") else n - 1  # the others meet the point of the next id
+    assert len(whole) == WHOLE[name] * points > len(some) and some <= whole
+
+
+def test_surface_exp_log_of_all_points(spark, sf):
+    registry.load()
+    assert registry.QUERIES["geo31_surface_exp_log"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() - 1
+
+
+def test_geodesic_pairs_of_all_points(spark, sf):
+    registry.load()
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    for name, dim in (("join05_pairwise_whole", 64), ("join10_geodesic_matrix_whole", 3)):
+        x = np.array([r["embedding"][:dim] for r in rows], float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        want, at = np.arccos(np.clip(x @ x.T, -1, 1)), {r["vec_id"]: k for k, r in enumerate(rows)}
+        got = registry.QUERIES[name](spark, sf).toPandas()
+        i, j = got["i"].map(at).to_numpy(), got["j"].map(at).to_numpy()
+        assert len(got) == (len(rows) * (len(rows) - 1) // 2 if dim == 64 else len(rows) ** 2) == len(set(zip(i, j)))
+        assert np.abs(got["d"].to_numpy() - want[i, j]).max() < 1e-5
