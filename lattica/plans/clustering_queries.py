@@ -191,9 +191,14 @@ def agg16(spark, sf):
 
 
 @query("agg17_pair_potential", WITH + f", u AS (SELECT a.s AS i, b.s AS j, sum(weight * least(a.d * a.d, b.d * b.d)) AS u FROM nd AS a JOIN nd AS b ON a.t = b.t JOIN n ON n.node_id = a.t WHERE a.s LIKE 'N%' AND b.s LIKE 'N%' GROUP BY ALL) SELECT i, j, {r('u')} AS u FROM u")
-def agg17(spark, sf):
+def agg17(spark, sf, nodes="s like 'N%'"):
     g = geo(spark, sf).graph
-    return D.pair_potential(g.node_dist.where("s like 'N%'"), g.nodes.select(F.col("node_id").alias("v"), F.col("weight").alias("nu"))).select("i", "j", rounded("u", "u"))
+    return D.pair_potential(g.node_dist.where(nodes), g.nodes.select(F.col("node_id").alias("v"), F.col("weight").alias("nu"))).select("i", "j", rounded("u", "u"))
+
+
+@query("agg17_pair_potential_whole")
+def agg17_whole(spark, sf):
+    return agg17(spark, sf, "true")
 
 
 @query("agg18_ari_records", f"SELECT lang, {r('ari')} AS ari FROM (SELECT 'all' AS lang, ari FROM {ari_sql('labels', 'quality', 'toxic')}) UNION ALL SELECT 'en', {r('ari')} FROM {ari_sql('(SELECT quality, toxic FROM labels JOIN documents USING (doc_id) WHERE lang = $$en$$)', 'quality', 'toxic')}")
@@ -361,9 +366,8 @@ def bas03(spark, sf):
 @query("bas05_critical_depth")
 def bas05(spark, sf):
     g = geo(spark, sf).graph
-    small = type(g)(g.nodes.where("node_id not like 'S%'"), g.edges.where("u not like 'S%'"))
-    u = D.pair_potential(small.node_dist, small.nodes.select(F.col("node_id").alias("v"), F.col("weight").alias("nu")))
-    return spark.createDataFrame([(D.critical_depth(small, u),)], "c_star double")
+    u = D.pair_potential(g.node_dist, g.nodes.select(F.col("node_id").alias("v"), F.col("weight").alias("nu")))
+    return spark.createDataFrame([(D.critical_depth(g, u),)], "c_star double")
 
 
 @query("bas06_drift_calibration")
