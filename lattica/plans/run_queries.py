@@ -98,7 +98,7 @@ SEEDS = [1, 2, 2, 3]
 
 def graph_points(spark, sf):
     g = geo(spark, sf)
-    return GraphSpace(g.graph), stored(g.points.where("point_id <= 150"))
+    return GraphSpace(g.graph), stored(g.points)
 
 
 @query("str01_annealing_graph")
@@ -115,7 +115,7 @@ def str11(spark, sf):
 
 @query("str04_annealing_sphere")
 def str04(spark, sf):
-    return A.trajectories(Sphere(2), stored(X.sphere(spark, sf, 2).where("point_id < 150")), A.run_table(spark, SEEDS), HOW)
+    return A.trajectories(Sphere(2), stored(X.sphere(spark, sf, 2)), A.run_table(spark, SEEDS), HOW)
 
 
 @query("str04_annealing_bolza")

@@ -330,3 +330,12 @@ def test_geodesic_pairs_of_all_points(spark, sf):
         i, j = got["i"].map(at).to_numpy(), got["j"].map(at).to_numpy()
         assert len(got) == (len(rows) * (len(rows) - 1) // 2 if dim == 64 else len(rows) ** 2) == len(set(zip(i, j)))
         assert np.abs(got["d"].to_numpy() - want[i, j]).max() < 1e-5
+
+
+def test_annealing_queries_take_all_points(spark, sf):
+    from lattica.plans import run_queries
+
+    larger = "/root/testdata/sf0.01"
+    assert run_queries.graph_points(spark, larger)[1].count() == spark.read.parquet(f"{larger}/customer.parquet").count() > 150
+    last = run_queries.str04(spark, sf).groupBy("run_slot").agg(F.max("i").alias("i")).collect()
+    assert {r["i"] for r in last} == {spark.read.parquet(f"{sf}/embeddings.parquet").count() - 1}
