@@ -52,21 +52,17 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b), a < b: members of one bucket that comps (id, comp) does not connect yet, so that a link between them could still matter.
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], share: int = 2000) -> DataFrame:
+    """rows joined with table, a row per key, whose column n says how many of rows have the key; no key is one task.
 
-    Members whose bucket lies within one component are left out before the join; the rest of a bucket is one large
-    component and few strangers, or a chance meeting of a few rows.
+    Keys of at least one in share of all counted rows are at most share, so they are broadcast; the others are shuffled.
     """
-    placed = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    left = placed.join(mixed, "bucket")
-    a, b = left.alias("a"), left.alias("b")
-    return (
-        a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-    )
+    table = stored(table, "counted")
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share >= total
+    named = table.where(hot)
+    far = rows.join(F.broadcast(named.select(on)), on, "left_anti").join(table.where(~hot), on)
+    return rows.join(F.broadcast(named), on).unionByName(far)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -185,4 +181,4 @@ def texts_of(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-__all__ = ["BETWEEN_WORDS", "LOWER", "WORD", "Words", "blocks", "connected_components", "cross_pairs", "mix", "shared_dir", "slices", "spans", "star_pairs", "stored", "table", "texts_of"]
+__all__ = ["BETWEEN_WORDS", "LOWER", "WORD", "Words", "blocks", "connected_components", "join_counted", "mix", "shared_dir", "slices", "spans", "star_pairs", "stored", "table", "texts_of"]
