@@ -194,6 +194,28 @@ def test_windows(spark):
         T.collected(t, 1.5)
 
 
+def test_net_spacing_is_each_points_own():
+    """The spacing is the median distance to the neighbours of the same point; blocks of rows give the same neighbours."""
+    x = Sphere(2).random_points(90, 4)
+    near = N._nearest(Sphere(2), x, 7, False)
+    assert (np.sort(near, 1) == np.sort(N._nearest(Sphere(2), x, 7, False, rows=13), 1)).all()
+    far = np.arccos(np.clip(x @ x.T, -1, 1))
+    _, spacing = N._push(Sphere(2), x, near, 1.0)
+    for i in range(len(x)):
+        others = np.sort(np.delete(far[i], i))[:7]
+        assert spacing[i] == pytest.approx(np.median(others))
+
+
+@pytest.mark.parametrize("mu", [(0.0, 0.0, 1.0), (0.0, 0.0, -1.0), (0.01, 0.0, 0.99995), (0.6, 0.8, 0.0), (0.36, -0.48, -0.8)])
+def test_von_mises_fisher_turns_around_its_mean(spark, mu):
+    mu = tuple(np.array(mu) / np.linalg.norm(mu))
+    x = np.array([r["x"] for r in N.von_mises_fisher(spark, mu, 50.0, 2000, 5).collect()])
+    assert np.linalg.norm(x, axis=1) == pytest.approx(1.0)
+    mean = x.mean(0)
+    assert mean / np.linalg.norm(mean) == pytest.approx(np.array(mu), abs=0.02)
+    assert np.linalg.norm(mean) == pytest.approx(1 / np.tanh(50.0) - 1 / 50.0, abs=0.01)
+
+
 def test_nets(spark):
     ratio = {}
     for kind, net in (("uniform", N.uniform_net(spark, Sphere(2), 120, 1)), ("repulsion", N.repulsion_net(spark, Sphere(2), 120, n_iter=200))):
@@ -205,7 +227,7 @@ def test_nets(spark):
     a, b = (np.array([r["x"] for r in N.repulsion_net(spark, Sphere(2), 60, n_iter=30, ambient=f).orderBy("point_id").collect()]) for f in (False, True))
     assert a == pytest.approx(b)
     with pytest.raises(ValueError):
-        N._neighbours(Bolza(), np.zeros((5, 2)), 2, True)
+        N._nearest(Bolza(), np.zeros((5, 2)), 2, True)
     with pytest.raises(ValueError):
         N.fibonacci_net(spark, 5, Sphere(3))
     probes = N.uniform_net(spark, Sphere(2), 300, 2)
