@@ -1,10 +1,10 @@
 """MinHash near-dedup: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-The weight of a shingle in a document is (1 + ln tf) * idf. The idf, 1 + ln((1 + N) / (1 + df)), is taken relative to its
-value at the share COMMON of all documents, and is at most 1: what a group of copies shares is not what makes text
-common, unless the group is that large. There are never more than (shingles per document) / COMMON shingles of less
-weight, however many documents there are, which bounds what is broadcast. A sketch of all documents' shingles names the
-candidates, a second pass counts them exactly.
+The weight of a shingle in a document is (1 + ln tf) * idf, with idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N): 2 for what
+no other text has, 1 for what all have. N counts the documents with words, and df those that hold the shingle, in a
+count-min sketch over all documents: two rows of 2 ** SLOTS_LOG2 counters, of which the lesser counts. So df is never too
+small, and too large by less than two mean counters (L * N / 2 ** SLOTS_LOG2 with L shingles a document) for three shingles
+in four at least (Markov's bound on either row); it is the same for a shingle wherever it stands.
 
 Nulls, ties and odd rows: a null text is empty; a text without words is in a class with equal texts only; a text of fewer than five
 words has one shingle of all its words; equal word sequences are one class without sampling. Rows without doc_id are in
@@ -25,88 +25,82 @@ from . import common
 WIDTH, SIMILARITY = 5, 0.8
 #: 10 bands of 3 samples meet at similarity 0.8 with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992.
 BANDS, ROWS = 10, 3
-#: Share of the documents from which on a shingle counts as common.
-COMMON = 0.1
-#: Counters of the sketch. With L shingles a document, a counter holds L / (SLOTS * COMMON) of the threshold by chance.
-SLOTS_LOG2 = 19
-SLICE = 1 << 15
+#: Counters of a row of the sketch, and those that are shipped as one slice.
+SLOTS_LOG2, SLICE = 21, 1 << 15
+
+
+def slots(sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of shingles in the two rows, the second behind the first."""
+    one = (sid >> np.uint64(52 - SLOTS_LOG2)).astype(np.int64)
+    return one, (common.mix(sid) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64) + (1 << SLOTS_LOG2)
 
 
 def _sketch(batches):
-    """Per task: counters of all its shingles, as slices of (slot, count) pairs."""
-    words, counters, docs = common.Words(), np.zeros(1 << SLOTS_LOG2, np.int64), 0
+    """Per task: counters of the documents that hold its shingles, in slices: a byte each, and those beyond it by place and count."""
+    words, counters, docs = common.Words(), np.zeros(2 << SLOTS_LOG2, np.int64), 0
     for batch in common.slices(batches):
         for _, texts in common.blocks(common.texts_of(batch.column(0))):
             _, sid, _, n, _ = words.shingles(texts, WIDTH)
-            np.add.at(counters, (sid >> np.uint64(52 - SLOTS_LOG2)).astype(np.int64), 1)
+            for at in slots(sid):
+                np.add.at(counters, at, 1)
             docs += int((n > 0).sum())
-    rows = [(-1, docs, b"", b"")] if docs else []
+    rows = [(-1, docs, b"", b"", b"")] if docs else []
     for i in range(0, len(counters), SLICE):
-        if len(at := np.flatnonzero(counters[i : i + SLICE])):
-            rows.append((i // SLICE, 0, at.astype("<u2").tobytes(), counters[i + at].astype("<u4").tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["slice", "docs", "at", "n"])
+        own = counters[i : i + SLICE]
+        if own.any():
+            at = np.flatnonzero(own > 255)
+            rows.append((i // SLICE, 0, np.where(own > 255, 0, own).astype(np.uint8).tobytes(), at.astype("<u2").tobytes(), own[at].astype("<i8").tobytes()))
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    for row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["slice", "docs", "low", "at", "n"])
 
 
 def _add_slices(batches):
     sums: dict[int, np.ndarray] = {}
     docs = 0
     for batch in batches:
-        for k, d, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, d, low, at, n in zip(*(c.to_pylist() for c in batch.columns)):
             docs += d
             if k >= 0:
-                np.add.at(sums.setdefault(k, np.zeros(SLICE, np.int64)), np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4"))
+                own = sums.setdefault(k, np.zeros(SLICE, np.int64))
+                own += np.frombuffer(low, np.uint8)
+                own[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
     rows = [(k, 0, s.astype("<i8").tobytes()) for k, s in sums.items()] + ([(-1, docs, b"")] if docs else [])
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["slice", "docs", "n"])
-
-
-def least_common(total: int) -> int:
-    """The document frequency from which on a shingle counts as common."""
-    return max(2, int(np.ceil(COMMON * total)))
+    for row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["slice", "docs", "n"])
 
 
-def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Documents with words, and the sorted ids and document frequencies of all shingles in at least COMMON of them (and in two)."""
-    text = docs.select("text")
+def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Documents with words, and the counters of both rows of the sketch: of one size, whatever the input."""
     sketch = (
-        text.mapInArrow(_sketch, "slice int, docs long, at binary, n binary")
-        .repartition((1 << SLOTS_LOG2) // SLICE, "slice")
+        docs.select("text")
+        .mapInArrow(_sketch, "slice int, docs long, low binary, at binary, n binary")
+        .repartition((2 << SLOTS_LOG2) // SLICE, "slice")
         .mapInArrow(_add_slices, "slice int, docs long, n binary")
     )
-    total, counters = 0, np.zeros(1 << SLOTS_LOG2, np.int64)
-    for r in sketch.collect():  # 2^SLOTS_LOG2 counters, whatever the input
+    total, counters = 0, np.zeros(2 << SLOTS_LOG2, np.int64)
+    for r in sketch.collect():  # a fixed number of counters
         if r["slice"] < 0:
             total += r["docs"]
         else:
             counters[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["n"], "<i8")
-    least = least_common(total)
-    hot = counters >= least
-
-    def count(batches):
-        words, ids, counts = common.Words(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in common.slices(batches):
-            for _, texts in common.blocks(common.texts_of(batch.column(0))):
-                _, sid, _, _, _ = words.shingles(texts, WIDTH)
-                new, n = np.unique(sid[hot[(sid >> np.uint64(52 - SLOTS_LOG2)).astype(np.int64)]], return_counts=True)
-                ids, back = np.unique(np.concatenate([ids, new]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(ids)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(counts)], ["sid", "n"])
-
-    if not hot.any():
-        return total, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    df = text.mapInArrow(count, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("sid")
-    return total, df["sid"].to_numpy(np.uint64), df["n"].to_numpy(np.int64)
+    return total, counters
 
 
 class Weigher:
-    def __init__(self, total: int, ids: np.ndarray, df: np.ndarray) -> None:
-        self.ids = ids
-        self.idf = np.minimum(1.0, (1 + np.log((1 + total) / (1 + df))) / (1 + np.log((1 + total) / (1 + least_common(total)))))
+    #: Steps of the logarithm of a counter, to base 2, that the shipped tables keep.
+    STEPS = 1024
+
+    def __init__(self, total: int, counters: np.ndarray | None = None) -> None:
+        self.codes = None if counters is None else np.round(self.STEPS * np.log2(1.0 + counters)).astype(np.uint16)
+        df = np.exp2(np.arange(1 << 16) / self.STEPS) - 1
+        self.idf = 1 + np.maximum(0.0, np.log((1 + total) / (1 + df))) / np.log(1 + max(1, total))
 
     def __call__(self, sid: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = 1 + np.log(tf)
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, sid), len(self.ids) - 1)
-            w *= np.where(self.ids[at] == sid, self.idf[at], 1.0)
+        if self.codes is not None:
+            one, two = slots(sid)
+            w *= self.idf[np.minimum(self.codes[one], self.codes[two])]
         return w
 
 
@@ -133,7 +127,6 @@ class Sampler:
         """A (documents, samples) table of 64-bit samples."""
         out = np.zeros((len(starts), len(self.odd)), np.uint64)
         ln_w = ln_w.astype(np.float32)
-        flat = not ln_w.any()
         for k, odd in enumerate(self.odd):
             x = sid * odd
             x ^= x >> np.uint64(31)
@@ -142,7 +135,7 @@ class Sampler:
             part = x.view(np.uint16).reshape(-1, 4)
             i, b = part[:, 1], self.b[part[:, 2]]
             r = self.r[i]
-            t = np.zeros(len(b), np.float32) if flat else np.floor(ln_w * self.inv[i] + b)
+            t = np.floor(ln_w * self.inv[i] + b)
             a = self.ln_c[part[:, 3]] - r * (t - b + 1)
             low = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), lengths))
             at = low[np.searchsorted(low, starts)]
@@ -320,10 +313,10 @@ def classes(docs: DataFrame) -> DataFrame:
     the links comes out; so no pairs are written, and no link between components is missed.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    weigher = Weigher(*common_shingles(docs))
+    weigher = Weigher(*frequencies(docs))
     signs = common.stored(signatures(docs, weigher), "signatures")
-    same = signs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    rep = common.stored(signs.join(same, ["h1", "h2"]).select("doc_id", "rep", "weight", "bands"), "representatives")
+    same = signs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    rep = common.stored(common.join_counted(signs, same, ["h1", "h2"]).select("doc_id", "rep", "weight", "bands"), "representatives")
     heads = rep.where("doc_id = rep")
     members = heads.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("id")).select(F.struct("band", "key").alias("bucket"), "id").distinct()
     shared = members.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")

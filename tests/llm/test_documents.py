@@ -84,9 +84,7 @@ def test_sentencepiece_query(spark, sf, odd):
 def shingle_weights(texts):
     sets = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else Counter() for t in texts]
     n, df = sum(map(bool, sets)), Counter(s for c in sets for s in c)
-    least = max(2, math.ceil(near_dup.COMMON * n))
-    idf = lambda s: min(1.0, (1 + math.log((1 + n) / (1 + df[s]))) / (1 + math.log((1 + n) / (1 + least)))) if df[s] >= least else 1.0
-    return [{s: (1 + math.log(k)) * idf(s) for s, k in c.items()} for c in sets]
+    return [{s: (1 + math.log(k)) * (1 + math.log((1 + n) / (1 + df[s])) / math.log(1 + n)) for s, k in c.items()} for c in sets]
 
 
 def brute_classes(ids, texts):
@@ -140,7 +138,7 @@ def test_near_dup_of_a_large_group_in_blocks(spark, monkeypatch):
 def test_weighted_similarity_matrix_is_exact():
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60))) for _ in range(30)]
-    got = near_dup.similarities(common.Words(), [t.encode() for t in texts], near_dup.Weigher(0, np.zeros(0, np.uint64), np.zeros(0)))
+    got = near_dup.similarities(common.Words(), [t.encode() for t in texts], near_dup.Weigher(0))
     sets = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else Counter() for t in texts]
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
