@@ -27,8 +27,7 @@ class Grams:
     """N-gram counts of many texts at once; an n-gram is known by 32 bits of its hash."""
 
     def __init__(self) -> None:
-        self.letter = np.zeros(0x110000, bool)
-        self.letter[:0x30000] = [chr(c).isalpha() for c in range(0x30000)]
+        self.letter = np.array([chr(c).isalpha() for c in range(0x110000)])
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text index, n-gram and count, sorted by text and n-gram. At most 1,024 texts."""
@@ -56,11 +55,15 @@ class Grams:
         """Text index, n-gram and rank (from 0) of each text's PROFILE most frequent n-grams."""
         of, gram, n = self.counts(texts)
         most = (1 << COUNT_BITS) - 1
-        key = np.sort((of.astype(np.uint64) << np.uint64(54)) | ((most - np.minimum(n, most)).astype(np.uint64) << np.uint64(32)) | gram)
-        of = (key >> np.uint64(54)).astype(np.int64)
+        if n.max(initial=0) <= most:  # text, count and n-gram fit one key
+            key = np.sort((of.astype(np.uint64) << np.uint64(54)) | ((most - n).astype(np.uint64) << np.uint64(32)) | gram)
+            of, gram = (key >> np.uint64(54)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+        else:
+            order = np.lexsort((gram, -n, of))
+            of, gram = of[order], gram[order]
         rank = np.arange(len(of)) - np.searchsorted(of, of)
         keep = rank < PROFILE
-        return of[keep], key[keep] & np.uint64(0xFFFFFFFF), rank[keep]
+        return of[keep], gram[keep], rank[keep]
 
 
 def runs(texts: list[str], size: int = 1 << 19, rows: int = 1000):
