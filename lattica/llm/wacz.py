@@ -6,8 +6,8 @@ the central directory from the tail of the file, follows the ZIP64 records where
 each index entry into one range read. Files are reached by `pyarrow.fs`, so local, HDFS and object stores work alike.
 
 Nulls, ties and odd rows: a null html is an empty payload; of equal payloads, the one with the smallest page_id is the
-response, rows without page_id come after all others; rows that repeat a page_id are records of their own: the first
-written is the response; empty tables write nothing and give no rows; other columns of pages are not read.
+response, rows without page_id come after all others; rows that repeat a page_id are records of their own, of
+which one, in the order of the input, is the response; empty tables write nothing and give no rows; other columns of pages are not read.
 """
 
 from __future__ import annotations
@@ -249,12 +249,12 @@ def deduplicated(pages: DataFrame) -> DataFrame:
 
     Digests are aggregated and joined without the pages; only rows that repeat a payload are joined back to them.
     """
-    own = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha"))
-    several = own.groupBy("sha").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("sha", "first")
-    repeats = own.join(several, "sha").where("first is not null and (page_id is null or page_id <> first)").select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), F.col("first").alias("_first")).distinct()
-    html = pages.select("page_id", "url", "html")
-    joined = html.join(repeats, html["page_id"].eqNullSafe(F.col("_page")) & (F.sha2(F.coalesce(html["html"], F.lit("")), 256) == F.col("_sha")), "left")
-    return joined.select("page_id", "url", "html", F.col("_first").alias("refers_to"), F.col("_first").isNotNull().alias("revisit"))
+    numbered = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    own = numbered.select("page_id", "sha", "row")
+    several = own.groupBy("sha").agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first")).where("n > 1 and first is not null")
+    repeats = common.join_counted(own, several, ["sha"]).where("page_id is null or page_id <> first.page_id or row <> first.row").select("row", "sha", F.col("first.page_id").alias("refers_to"))
+    joined = numbered.join(repeats, ["row", "sha"], "left")
+    return joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -266,7 +266,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
 ORACLE = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
 d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') AS payload_digest FROM p),
-f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM d GROUP BY ALL)
-SELECT page_id, payload_bytes::bigint AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
-FROM d JOIN f USING (payload_digest, payload_bytes)
+f AS (SELECT *, row_number() OVER w = 1 AS response, first_value(page_id) OVER w AS first FROM d WINDOW w AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id))
+SELECT page_id, payload_bytes::bigint AS payload_bytes, payload_digest, CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN response THEN NULL ELSE first END AS refers_to FROM f
 """
