@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph per shard.
 
-Distinct vectors are dealt by hash into shards of about SHARD rows, which bounds a task however many there are. A shard's
+Distinct vectors are dealt into shells of norms within a factor of two, and by hash into shards of about SHARD rows, which
+bounds a task however many there are and keeps a few very long vectors from making all others look equally near. A shard's
 graph has levels of geometrically falling size; on each, a node's links are the nearest of that level, those first that
-are nearer to it than to any link already taken, and the reverse of these links. They are stored as flat arrays (row
+are nearer to it than to any link already taken, the reverse of these links, and LONG links across the shard at the lowest
+level, so that tight clusters stay connected. They are stored as flat arrays (row
 starts, neighbours) in a file of the shared folder, beside the vectors. Inner products become distances by one added
 coordinate. Queries, in blocks, descend the levels greedily and widen to a pool of POOL at the lowest one; the best of
 all shards are merged. Scores are computed in double precision from the original vectors.
@@ -26,6 +28,8 @@ from . import common
 from .wacz import filesystem
 
 SHARD, NEAR, POOL, TOP, QUERY_BLOCK = 16_384, 32, 192, 20, 512
+#: Long links of a node, and nodes spread over a shard from which every search starts besides the one it descends to.
+LONG, ENTRIES = 4, 64
 #: Levels: each has one in LEVEL of the nodes of the one below.
 LEVEL = 16
 
@@ -83,15 +87,22 @@ class Graph:
     @staticmethod
     def build(vectors: np.ndarray, members: list[list[int]], near: int = NEAR) -> dict[str, np.ndarray]:
         n = len(vectors)
-        square = (vectors * vectors).sum(1)
-        points = np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1)
+        scaled = vectors / np.abs(vectors).max()
+        square = (scaled * scaled).sum(1)
+        points = np.concatenate([scaled, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1)
         points = (points / np.sqrt(square.max())).astype(np.float32)
         u = (common.mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
         level = np.floor(-np.log(np.maximum(u, 1e-300)) / np.log(LEVEL)).astype(int)
         out = {"vectors": vectors, "points": points, "ids": np.array([x for m in members for x in m], np.int64), "id_starts": np.cumsum([0] + [len(m) for m in members])}
         for i in range(level.max() + 1):
             nodes = np.flatnonzero(level >= i)
-            starts, flat = links(points[nodes], near if i == 0 else near // 2)
+            # Differences between the nodes of a shard, not their common part, are what single precision has to hold.
+            starts, flat = links(points[nodes] - points.mean(0), near if i == 0 else near // 2)
+            if i == 0 and n > 2 * LONG:
+                degree = np.diff(starts)
+                far = (common.mix(np.arange(n * LONG, dtype=np.uint64) + np.uint64(n)) % np.uint64(n)).astype(np.int32).reshape(n, LONG)
+                flat = np.insert(flat, np.repeat(starts[1:], LONG), far.ravel())
+                starts = np.concatenate([[0], np.cumsum(degree + LONG)])
             out |= {f"nodes{i}": nodes, f"starts{i}": starts, f"flat{i}": flat}
         return out | {"levels": np.array(level.max() + 1)}
 
@@ -115,7 +126,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, pool: int = POOL, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Nodes (-1: none) and approximate scores of the pool of each query."""
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
+        q = queries / np.abs(queries).max(1, keepdims=True)
+        q = np.concatenate([q, np.zeros((len(queries), 1))], 1).astype(np.float32)
         table, m = self.levels[0][1], len(q)
         seen = np.zeros((m, len(self.points) + 1), bool)
         nodes = np.full((m, pool), -1, np.int32)
@@ -124,6 +136,12 @@ class Graph:
         entry = self.descend(q)
         nodes[:, 0], score[:, 0], done[:, 0] = entry, np.einsum("qd,qd->q", q, self.points[entry]), False
         seen[np.arange(m), entry] = True
+        spread = np.unique(np.linspace(0, len(self.points) - 1, min(ENTRIES, pool - 1)).astype(np.int32))
+        k = len(spread)
+        nodes[:, 1 : k + 1], score[:, 1 : k + 1], done[:, 1 : k + 1] = spread, q @ self.points[spread].T, False
+        same = spread[None, :] == entry[:, None]
+        nodes[:, 1 : k + 1][same], score[:, 1 : k + 1][same], done[:, 1 : k + 1][same] = -1, -np.inf, True
+        seen[:, spread] = True
         live = np.arange(m)
         while len(live):
             open_ = np.where(done[live], -np.inf, score[live])
@@ -154,7 +172,7 @@ class Graph:
 
     def answers(self, queries: np.ndarray, own: np.ndarray, top: int):
         """(query, vec_id, score) of at least the top members found, without the query itself."""
-        nodes, _ = self.search(queries)
+        nodes, _ = self.search(queries, max(POOL, 4 * top))
         for i, found in enumerate(nodes):
             found = found[found >= 0]
             exact = (self.vectors[found] * queries[i]).sum(1)
@@ -197,12 +215,16 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, top: int = TOP, s
     folder = f"{common.shared_dir(rows.sparkSession)}/lattica-hnsw-{uuid.uuid4().hex}"
     # The limit on ranks is applied before the shuffle too, so that a vector with very many copies is no hot group.
     ranked = ok.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= top + 1)
-    distinct = common.stored(ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
-    shards = {r["dim"]: -(-r["n"] // shard) for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    most = F.array_max(F.transform("v", F.abs))
+    norm = F.log2(most) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))) / 2
+    distinct = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("most", most)
+    distinct = common.stored(distinct.select("v", "ids", F.size("v").alias("dim"), F.floor(norm + 0.5).cast("int").alias("shell")), "vectors")
+    # A row per length and power of two, of which doubles have about 2,100.
+    shards = {(r["dim"], r["shell"]): -(-r["n"] // shard) for r in distinct.groupBy("dim", "shell").agg(F.count("*").alias("n")).collect()}
     if not shards:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    many = F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))
-    keyed = distinct.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), many[F.col("dim")]).cast("int"))
+    many = rows.sparkSession.createDataFrame([(*k, n) for k, n in shards.items()], "dim int, shell int, shards int")
+    keyed = distinct.join(F.broadcast(many), ["dim", "shell"]).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
 
     def build(key, group):
         dim = key[0].as_py()
@@ -210,7 +232,7 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, top: int = TOP, s
         vectors = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         return pa.table({"dim": pa.array([dim], pa.int32()), "path": [_save(folder, Graph.build(vectors, group["ids"].to_pylist()))]})
 
-    graphs = common.stored(keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, path string"), "graphs")
+    graphs = common.stored(keyed.groupBy("dim", "shell", "shard").applyInArrow(build, "dim int, path string"), "graphs")
 
     def pack(key, group):
         dim = key[0].as_py()
