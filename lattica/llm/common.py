@@ -48,8 +48,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
 def star_pairs(members: DataFrame) -> DataFrame:
     """(a, b): every member (bucket, id) of a bucket with the smallest id of that bucket. Linear in the members."""
-    lead = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("bucket", "a")
-    return members.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    lead = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z").select("bucket", "a", "n")
+    return join_counted(members, lead, ["bucket"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def join_counted(rows: DataFrame, table: DataFrame, on: list[str], share: int = 2000) -> DataFrame:

@@ -199,6 +199,15 @@ def gram_code(g):
     return int(common.mix(np.array([v + len(g) - 1], np.uint64))[0] >> np.uint64(32))
 
 
+def test_letters_beyond_the_first_planes_and_very_many_of_one():
+    grams = language_id.Grams()
+    assert grams.letter[0x30000] and not grams.letter[ord("1")]
+    text = "ab " * (1 << 22) + "c " * 3
+    _, gram, rank = grams.top([text])
+    by = dict(zip(gram.tolist(), rank.tolist()))
+    assert len(by) == len(set(brute_grams("ab c"))) and by[gram_code("c")] > by[gram_code("a")]
+
+
 def test_language_id_on_odd_rows(spark, odd):
     got = language_id.predict(odd).collect()
     assert len(got) == odd.count()

@@ -104,9 +104,12 @@ def test_wacz_round_trip(spark, sf):
             if r["page_id"] is not None:
                 first[p] = min(first.get(p, r["page_id"]), r["page_id"])
         want = Counter()
+        seen = set()
         for r in rows:
             p = (r["html"] or "").encode()
-            old = first[p] != r["page_id"]
+            old = first[p] != r["page_id"] or p in seen  # of rows that repeat page_id and payload, one is the response
+            if not old:
+                seen.add(p)
             want[r["page_id"], len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if old else "response", first[p] if old else None] += 1
         got = wacz.round_trip(df)
         assert Counter(tuple(r) for r in got.drop("url", "payload").collect()) == want
@@ -143,6 +146,34 @@ def test_nearest_recall(spark, monkeypatch):
         assert all(s == pytest.approx(np.dot(exact[q], exact[j]), abs=1e-12) for j, s in found)
 
 
+def graph_recall(vectors, queries):
+    """Shares of the 20 nearest found, all in one shell as the operator deals them."""
+    norms = np.linalg.norm(vectors, axis=1)
+    shell = np.floor(np.log2(norms) + 0.5)
+    want = np.argsort(-(queries @ vectors.T), 1, kind="stable")[:, :20]
+    found = [[] for _ in queries]
+    for x in np.unique(shell):
+        at = np.flatnonzero(shell == x)
+        graph = ann.Graph(ann.Graph.build(vectors[at], [[int(i)] for i in at]))
+        for i, (_, ids, scores) in enumerate(graph.answers(queries, np.full(len(queries), -1), 20)):
+            found[i] += list(zip(-scores, ids))
+    return np.mean([len({j for _, j in sorted(f)[:20]} & set(w.tolist())) / 20 for f, w in zip(found, want)])
+
+
+def test_nearest_recall_on_uneven_vectors():
+    rng = np.random.default_rng(3)
+    plain = rng.standard_normal((4000, 64))
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    queries = plain[:100].copy()
+    outlier = plain.copy()
+    outlier[7] *= 1e5
+    assert graph_recall(outlier, queries) >= 0.95
+    assert graph_recall(plain * np.exp(rng.standard_normal((4000, 1))), queries) >= 0.95
+    for k in (40, 200):
+        tight = plain[rng.integers(k, size=4000)] + 0.02 * rng.standard_normal((4000, 64))
+        assert graph_recall(tight, tight[:100]) >= 0.95, k
+
+
 def test_nearest_on_odd_rows(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(100)] + [(20, same), (200, [3.0, 2.0, 1.0]), (201, None), (202, [0.0] * 3), (203, [1.0, None, 1.0]), (204, [float("nan"), 1.0, 1.0]), (220, [float("inf"), 1.0, 1.0]), (None, same), (240, []), (260, [1.0, 1.0]), (261, [2.0, 2.0]), (300, [5.0] * 7)]
@@ -213,12 +244,24 @@ def brute_links(rows):
             if level:
                 for nr, u in [(True, plain(" ".join(lines))), *((False, plain(x)) for x in lines)]:
                     who = units.get(u, set()) if u else set()
-                    here, far = min([w for w in who if w[0] == at[0]], default=None), min(who, default=None)
-                    to = here if here and here < at else far if far and far < at else None
+                    here, far = min([w for w in who if w[0] == at[0]], default=None), min([w for w in who if w[0] != at[0]], default=None)
+                    to = here if here and here < at else far
                     if to:
                         found.append((nr, -level, to))
         if found:
             reply[at] = max(found)[2]
+    def endless(at):
+        seen = set()
+        while at in reply and at not in seen:
+            seen.add(at)
+            at = reply[at]
+        return at in reply
+
+    if on := [at for at in parsed if endless(at)]:
+        for at in on:
+            if reply[at] > at:
+                del reply[at]
+    assert not any(map(endless, parsed))
     out = {}
     for at in parsed:
         root, depth = at, 0
@@ -243,6 +286,15 @@ def test_quotes_against_brute_force(spark):
     assert max(d for _, _, d in want.values()) > 3
 
 
+def test_links_to_later_conversations_and_of_several_quotes(spark):
+    rows = [(1, 0, "> said by two\nsaid by one"), (2, 0, "> said by one\nsaid by two"), (2, 1, "> said by two\nyes\n> said by one\nno"), (3, 0, "> only later\nwell"), (9, 0, "only later")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    links = {tuple(r)[:2] + tuple(r)[-2:] for r in chat_quotes.links(df).where("line = -1").collect()}
+    assert links == {(1, 0, 2, 0), (2, 0, 1, 0), (2, 1, 2, 0), (2, 1, 1, 0), (3, 0, 9, 0)}
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"], r["thread_conv"], r["depth"]) for r in chat_quotes.link(df).collect()}
+    assert got == {(1, 0): (None, None, 1, 0), (2, 0): (1, 0, 1, 1), (2, 1): (2, 0, 1, 2), (3, 0): (9, 0, 9, 1), (9, 0): (None, None, 9, 0)}
+
+
 def test_a_long_thread(spark):
     """A chain of replies, each quoting the one before."""
     rows = [(1, 0, "u", "message number 0")] + [(1, i, "u", f"> message number {i - 1}\nmessage number {i}") for i in range(1, 40)]
