@@ -36,6 +36,12 @@ def best_of_window(trajectory: DataFrame, share: float) -> DataFrame:
     return best.select("run_slot", "b.i", "b.t", "b.energy", "b.state")
 
 
+def final_state(trajectory: DataFrame) -> DataFrame:
+    """(run_slot, n, state): observations seen and where the run ended, which need not be its best state; a run of no observation ends at its start."""
+    last = trajectory.groupBy("run_slot").agg((F.max("i") + 1).alias("n"), F.max_by("state", "i").alias("state"))
+    return last.select("run_slot", F.col("n").cast("long").alias("n"), "state")
+
+
 def most_frequent_state(trajectory: DataFrame, share: float, by: tuple[str, ...] = ("run_slot",)) -> DataFrame:
     """The most frequent state of the window (per center slot, if by has it); the first collected of equal ones."""
     n = collected(trajectory, share).groupBy(*by, "state").agg(F.count("*").alias("n"), F.min("i").alias("first"))

@@ -113,6 +113,11 @@ def str11(spark, sf):
     return A.trajectories(space, points, A.run_table(spark, [5]), HOW, record=True).select("run_slot", "i", "t", "energy")
 
 
+@query("str12_final_states", TR + "SELECT run_slot, max(i) + 1 AS n, arg_max(state, i) AS state FROM tr GROUP BY run_slot")
+def str12(spark, sf):
+    return T.final_state(X.trajectory(spark, sf))
+
+
 @query("str04_annealing_sphere")
 def str04(spark, sf):
     return A.trajectories(Sphere(2), stored(X.sphere(spark, sf, 2)), A.run_table(spark, SEEDS), HOW)
@@ -180,7 +185,7 @@ def run05(spark, sf):
     return tables.run_seeds(spark, [1, 2, 3], run, path, config).select("seed", "energy")
 
 
-@query("verify_annealing_energy")
+@query("verify_annealing_energy", "SELECT unnest([0, 1])::int AS run_slot, 0.0::double AS difference")
 def verify(spark, sf):
     """Energies reported by runs against the energy query over the emitted centers: the largest difference."""
     space, points = graph_points(spark, sf)

@@ -170,6 +170,14 @@ def test_trajectory_selection(spark, two_piles):
         A.trajectories(Sphere(2), N.fibonacci_net(spark, 20), A.run_table(spark, [1]), A.Annealing(2, energy_mode="uniform"))
 
 
+def test_observations_of_another_graph(spark, two_piles):
+    space, p = two_piles
+    for u, v, pos in (("0", "absent", 0.0), ("0", "1", 1e9)):
+        odd = p.unionByName(p.limit(1).withColumns({"u": F.lit(u), "v": F.lit(v), "pos": F.lit(pos)}))
+        with pytest.raises(ValueError, match="not in the space"):
+            A.trajectories(space, odd, A.run_table(spark, [1]), A.Annealing(2))
+
+
 def test_annealing_on_manifolds(spark):
     p = stored(N.sphere_mixture(spark, 200, 1))
     r = A.run_parallel(Sphere(2), p, A.Annealing(3, beta0=5.0, step_size=0.05, robust_prop=0.3), 4, [1, 2, 3, 4]).first()
