@@ -154,9 +154,9 @@ def test_queries_over_all_points_and_nodes(spark, sf):
     run = lambda name: registry.QUERIES[name](spark, sf).collect()
     names, dist = g.graph.matrix()
     n, at = len(names), {x: i for i, x in enumerate(names)}
-    nodes = run("geo02_node_distance_whole")
+    nodes = run("geo02_node_distance")
     assert len(nodes) == n * (n - 1) // 2 and all(abs(r["d"] - dist[at[r["s"]], at[r["t"]]]) < 1e-5 for r in nodes)
-    hops = run("join16_first_hop_whole")
+    hops = run("join16_first_hop")
     assert len(hops) == n * (n - 1) and all(abs(dist[at[r["s"]], at[r["hop"]]] + dist[at[r["hop"]], at[r["t"]]] - dist[at[r["s"]], at[r["t"]]]) < 1e-6 for r in hops)
     points = {r["point_id"]: (at[r["u"]], at[r["v"]], r["pos"], r["length"]) for r in g.graph.with_length(g.points).collect()}
 
@@ -166,18 +166,19 @@ def test_queries_over_all_points_and_nodes(spark, sf):
         return min(ways + ([abs(x - y)] if (u, v) == (w, z) else []))
 
     m = len(points)
-    pairs = run("geo03_pair_distance_whole")
-    assert m > 41 and len(pairs) == m * (m - 1) and all(abs(r["d"] - between(r["a"], r["b"])) < 1e-5 for r in pairs)
-    assert {(r["a"], r["b"]) for r in run("geo05_distance_whole")} == {(a, b) for a in points for b in points if a < b}
-    path = {(r["a"], r["b"]): r["distance"] for r in run("geo04_quantum_path_whole")}
-    assert set(path) == {(a, b) for a in points for b in points if points[a][0] != points[b][0]} and all(abs(d - between(*k)) < 1e-5 for k, d in path.items())
+    pairs = run("geo03_pair_distance")
+    following = {(a, a + 1) for a in points if a + 1 in points}
+    assert m > 41 and {(r["a"], r["b"]) for r in pairs} == following and len(pairs) == len(following) and all(abs(r["d"] - between(r["a"], r["b"])) < 1e-5 for r in pairs)
+    assert {(r["a"], r["b"]) for r in run("geo05_distance")} == {(a, b) for a in points for b in points if a < b}
+    path = {(r["a"], r["b"]): r["distance"] for r in run("geo04_quantum_path")}
+    assert set(path) == {(a, b) for a, b in following if points[a][0] != points[b][0]} and all(abs(d - between(*k)) < 1e-5 for k, d in path.items())
     weight = {r["node_id"]: r["weight"] for r in g.graph.nodes.collect()}
     nu = [weight[x] for x in names]
     u = {(x, y): sum(w * min(dist[i, k], dist[j, k]) ** 2 for k, w in enumerate(nu)) for i, x in enumerate(names) for j, y in enumerate(names)}
-    assert {(r["i"], r["j"]) for r in run("agg17_pair_potential_whole")} == set(u)
-    assert all(abs(r["u"] - u[r["i"], r["j"]]) < 1e-4 for r in run("agg17_pair_potential_whole"))
+    assert {(r["i"], r["j"]) for r in run("agg17_pair_potential")} == set(u)
+    assert all(abs(r["u"] - u[r["i"], r["j"]]) < 1e-4 for r in run("agg17_pair_potential"))
     depth = D.critical_depth(g.graph, spark.createDataFrame([(*k, float(x)) for k, x in u.items()], "i string, j string, u double"))
     assert abs(run("bas05_critical_depth")[0]["c_star"] - depth) < 1e-6 and abs(run("bas06_drift_calibration")[0]["beta0"] - 0.3 / depth) < 1e-6
     events = spark.read.parquet(f"{sf}/events.parquet").collect()
     done = {r["event_id"] for r in events if r["event_id"] % 3 == 0 and r["event_type"] == "view"}
-    assert {r["seed"] for r in run("snk03_missing_seeds_whole")} == {r["event_id"] for r in events} - done
+    assert {r["seed"] for r in run("snk03_missing_seeds")} == {r["event_id"] for r in events} - done
