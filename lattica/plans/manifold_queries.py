@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..operators.spaces import Bolza, Hyperboloid, Sphere
 from ..sources import nets as N
 from . import fixtures as X
-from .registry import query, r, rounded
+from .registry import ORACLES, query, r, rounded
 
 S3, S64, DISK, HYP = f"WITH {X.sql_sphere(2)}\n", f"WITH {X.sql_sphere()}\n", f"WITH {X.SQL_DISK}\n", f"WITH {X.SQL_HYPERBOLOID}\n"
 
@@ -282,14 +282,16 @@ def geo30(spark, sf):
     return disk_pairs(spark, sf).withColumn("b", best).select("point_id", rounded("b.d", "d"), rounded("b.re", "re"), rounded("b.im", "im"))
 
 
-@query("geo31_surface_exp_log")
+@query("geo31_surface_exp_log", f"SELECT point_id, d AS norm, re, im FROM ({ORACLES['geo30_nearest_copy']})")
 def geo31(spark, sf):
-    """There and back: the distance of exp(log) to the target is zero."""
-    best = B.nearest_copy(P(), W())
-    x = disk_pairs(spark, sf).withColumn("b", best)
-    v = G.disk_log(P(), G.z("b.re", "b.im"))
+    """There and back: exp(log) ends at the nearest copy of the target, and the logarithm is as long as the way there."""
+    # The copy and the logarithm are each found below a generator, so that they are computed once a point.
+    x = disk_pairs(spark, sf).withColumn("b", F.explode(F.array(B.nearest_copy(P(), W()))))
+    log = G.disk_log(P(), G.z("b.re", "b.im"))
+    x = x.withColumn("l", F.explode(F.array(F.struct(log.re.alias("re"), log.im.alias("im")))))
+    v = G.z("l.re", "l.im")
     e = G.disk_exp(P(), v)
-    return x.select("point_id", rounded(G.disk_norm(P(), v), "norm"), e.re.alias("re"), e.im.alias("im"))
+    return x.select("point_id", rounded(G.disk_norm(P(), v), "norm"), rounded(e.re, "re"), rounded(e.im, "im"))
 
 
 @query("geo33_geodesic_arc", DISK + f""", {TWO}, {MOB.replace("(re - wr)", "(wr - re)").replace("(im - wi)", "(wi - im)").replace("1 - (wr * re + wi * im) AS er, -(wr * im - wi * re) AS ei", "1 - (re * wr + im * wi) AS er, -(re * wi - im * wr) AS ei")},
