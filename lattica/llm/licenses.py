@@ -79,7 +79,7 @@ class Scanner:
                 spots.setdefault(i, []).append((max(0, begin - k), begin + n + k))
         out = []
         for i, windows in spots.items():
-            _, label, _, patterns = self.notices[i]
+            notice, label, k, patterns = self.notices[i]
             windows.sort()
             joined = [windows[0]]
             for a, b in windows[1:]:
@@ -87,14 +87,17 @@ class Scanner:
                     joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
                 else:
                     joined.append((a, b))
-            for a, b in joined:
-                todo = [(a, min(b, len(text)))]
-                while todo:
-                    a, b = todo.pop()
-                    m = next((m for p in patterns if (m := p.search(text, a, b))), None)
-                    if m is not None:
+            free = [(a, min(b, len(text))) for a, b in joined]
+            # Every number of edits passes once over what fewer have left, so the time grows with the text, not with its square.
+            for pattern in patterns:
+                rest = []
+                for a, b in free:
+                    for m in pattern.finditer(text, a, b):
                         out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        todo += [(x, y) for x, y in ((a, m.start()), (m.end(), b)) if y - x >= len(self.notices[i][0]) - self.notices[i][2]]
+                        rest.append((a, m.start()))
+                        a = m.end()
+                    rest.append((a, b))
+                free = [(a, b) for a, b in rest if b - a >= len(notice) - k]
         return sorted(out, key=lambda x: (x[1], x[3], x[0]))
 
     def scan(self, texts: list[bytes]) -> list[tuple]:
@@ -123,12 +126,13 @@ class Scanner:
         out = []
         for t, text in enumerate(plain[: len(texts)]):
             own = places.get(t, [])
-            spans = []
+            spans, at, seen = [], 0, -int(text.startswith(" "))
             for label, a, b, edits in self.fuzzy(text):
                 body = text[a:b]
                 a, b = a + len(body) - len(body.lstrip()), b - (len(body) - len(body.rstrip()))
-                before = text[:a].count(" ") - text.startswith(" ")
-                spans.append((label, max(0, before), max(0, before) + text[a:b].count(" "), edits, 1 - edits / max(1, b - a)))
+                seen += text.count(" ", at, a) - text.count(" ", a, at)  # finds are in order, so each counts on from the last
+                at = a
+                spans.append((label, max(0, seen), max(0, seen) + text.count(" ", a, b), edits, 1 - edits / max(1, b - a)))
             starts = [w for w, _ in own]
             base = sorted({x for _, x in own})
             labels = sorted({*base, *(s[0] for s in spans)})
