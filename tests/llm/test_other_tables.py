@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import ann, chat_quotes, common, queries, url_filter, wacz
@@ -59,6 +60,28 @@ def test_url_classifier_on_held_out_rows(spark):
     assert sum((r["verdict"] == "block") == (truth[r["page_id"]] == 1.0) for r in got) / test.count() > 0.95
 
 
+def test_url_classifier_on_words_it_has_not_seen(spark):
+    """Every fourth host word is held out with all its urls; the paths of its label are known."""
+    table, words = url_filter.labelled(spark).collect(), sorted(url_filter.BLOCKED + url_filter.ALLOWED)
+    random.Random(1).shuffle(words)
+    out = words[::4]
+    train, test = ([r for r in table if any(w in r["url"] for w in out) == held] for held in (False, True))
+    pages = spark.createDataFrame([(i, r["url"]) for i, r in enumerate(test)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge(pages, (), spark.createDataFrame(train, "url string, label double")).collect()}
+    blocked, right = sum(got.values()), sum(got[i] and r["label"] == 1 for i, r in enumerate(test))
+    assert right / blocked > 0.75 and right / sum(r["label"] == 1 for r in test) > 0.4
+
+
+def test_url_grams_against_brute_force_and_of_a_long_path(spark):
+    def brute(kind, text):
+        return [kind + text[i : i + n] for n in url_filter.SIZES for i in range(max(1, len(text) - n + 1))]
+
+    parts = [("", ""), ("a.b", "/"), ("é", "/𝔘x"), ("x.org", "/" + "abcdefghij" * 20_000)]
+    rows = spark.createDataFrame(parts, "host string, path string")
+    for r in rows.select("host", "path", url_filter.grams(F.col("host"), F.col("path")).alias("grams")).collect():
+        assert Counter(r["grams"]) == Counter(brute("h", f"^{r['host']}$") + brute("p", f"^{r['path']}$"))
+
+
 # WARC packages.
 
 
@@ -343,7 +366,6 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_against_brute_force(spark, tmp_path):
     """All five stages in plain Python, over texts that each of them has something to do with."""
     import sentencepiece
-    from pyspark.sql import functions as F
 
     rng = random.Random(10)
     items = [(i, " ".join(rand_words(rng, rng.choice((5, 13, 30))))) for i in range(4)]
