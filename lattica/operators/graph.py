@@ -6,15 +6,22 @@ change gives a new one, so that derived distances can't go stale.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.storage import stored
 
-#: Up to so many nodes, shortest paths are found on the driver (the matrix has at most 32 MB); beyond, by joins.
+#: Up to so many nodes, shortest paths are found on the driver (the matrix has at most 32 MB).
 DENSE_NODES = 2_000
+#: Up to so many nodes, all distances may be one matrix, as annealing on a graph takes it (at most 512 MB).
+MATRIX_NODES = 8_000
+#: Up to so many nodes and edges, graphs are shipped to tasks that search from some nodes each; beyond, paths are joined.
+SEARCH_NODES, SEARCH_EDGES = 200_000, 1_000_000
 #: Centers are few; tables of nodes x centers up to so many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 FAR = 1e300
@@ -26,6 +33,31 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionAll(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
 
 
+def distances_from(around: list[list[tuple[int, float]]], source: int) -> np.ndarray:
+    """Distances of all nodes from one, by settling the nearest open node; around holds (neighbour, length) of every node."""
+    d = [math.inf] * len(around)
+    d[source] = 0.0
+    waiting = [(0.0, source)]
+    while waiting:
+        far, node = heappop(waiting)
+        if far > d[node]:
+            continue  # settled by a shorter way
+        for other, length in around[node]:
+            if far + length < d[other]:
+                d[other] = far + length
+                heappush(waiting, (d[other], other))
+    return np.array(d)
+
+
+def _packed(names: list[str], source: int, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"i": pa.array([source]), "d": pa.array([d.tobytes()], pa.binary())})
+
+
+def _reached(names: list[str], source: int, d: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(np.isfinite(d))
+    return pa.RecordBatch.from_pydict({"s": pa.array([names[source]] * len(at), pa.string()), "t": pa.array([names[i] for i in at], pa.string()), "d": pa.array(d[at])})
+
+
 @dataclass(frozen=True)
 class MetricGraph:
     nodes: DataFrame
@@ -116,27 +148,62 @@ class MetricGraph:
     def node_dist(self) -> DataFrame:
         """(s, t, d) between all nodes; found once per graph."""
         if "dist" not in self._cache:
-            small = self.nodes.limit(DENSE_NODES + 1).count() <= DENSE_NODES
-            self._cache["dist"] = self.dense_paths() if small else self.joined_paths()
+            n = self.nodes.limit(SEARCH_NODES + 1).count()
+            small = n <= SEARCH_NODES and self.edges.limit(SEARCH_EDGES + 1).count() <= SEARCH_EDGES
+            self._cache["dist"] = self.dense_paths() if n <= DENSE_NODES else self.searched_paths() if small else self.joined_paths()
         return self._cache["dist"]
 
     def matrix(self) -> tuple[list[str], np.ndarray]:
-        """Nodes by ord and their distances, for graphs of at most DENSE_NODES nodes."""
+        """Nodes by ord and their distances, for graphs of at most MATRIX_NODES nodes."""
         if "matrix" not in self._cache:
-            names = [r["node_id"] for r in self.nodes.select("node_id", "ord").orderBy("ord", "node_id").limit(DENSE_NODES + 1).collect()]
-            if len(names) > DENSE_NODES:
-                raise ValueError(f"more than {DENSE_NODES} nodes: use node_dist")
-            at = {x: i for i, x in enumerate(names)}
+            names = self._names(MATRIX_NODES)
             d = np.full((len(names),) * 2, np.inf)
-            np.fill_diagonal(d, 0.0)
-            for r in self.edges.select("u", "v", "length").collect():  # at most DENSE_NODES squared
-                i, j = at[r["u"]], at[r["v"]]
-                d[i, j] = d[j, i] = min(d[i, j], r["length"])
-            for k in range(len(names)):
-                np.minimum(d, d[:, k : k + 1] + d[k], out=d)
+            if len(names) > DENSE_NODES:
+                # Searched in parallel and stored first, as a local iterator would run one task after the other.
+                for r in stored(self._searched(names, _packed, "i long, d binary")).toLocalIterator():
+                    d[r["i"]] = np.frombuffer(r["d"])
+            else:
+                np.fill_diagonal(d, 0.0)
+                for i, j, length in self._ends(names):
+                    d[i, j] = d[j, i] = min(d[i, j], length)
+                for k in range(len(names)):
+                    np.minimum(d, d[:, k : k + 1] + d[k], out=d)
             self._cache["matrix"] = names, d
         return self._cache["matrix"]
 
+    def _names(self, most: int) -> list[str]:
+        names = [r["node_id"] for r in self.nodes.select("node_id", "ord").orderBy("ord", "node_id").limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"more than {most} nodes: use node_dist")
+        return names
+
+    def _ends(self, names: list[str]) -> list[tuple[int, int, float]]:
+        """Edges by the numbers of their ends; at most SEARCH_EDGES, or DENSE_NODES squared."""
+        at, most = {x: i for i, x in enumerate(names)}, max(SEARCH_EDGES, DENSE_NODES**2)
+        rows = self.edges.select("u", "v", "length").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} edges: use node_dist")
+        return [(at[r["u"]], at[r["v"]], r["length"]) for r in rows]
+
+    def _searched(self, names: list[str], told, schema: str) -> DataFrame:
+        """What told(names, source, distances) makes of the distances of every node; each task searches from some nodes."""
+        ends, n = self._ends(names), len(names)
+
+        def run(batches):
+            around: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+            for u, v, length in ends:
+                around[u].append((v, length))
+                around[v].append((u, length))
+            for batch in batches:
+                for source in batch.column(0).to_pylist():
+                    yield told(names, source, distances_from(around, source))
+
+        return self.spark.range(0, n, 1, max(1, min(n, 4 * self.spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+
+    def searched_paths(self) -> DataFrame:
+        """(s, t, d) by a search from every node over the whole graph, which every task holds; nodes out of reach have no row."""
+        return stored(self._searched(self._names(SEARCH_NODES), _reached, "s string, t string, d double"))
+
     def dense_paths(self) -> DataFrame:
         names, d = self.matrix()
         if np.isinf(d).any():

@@ -43,6 +43,21 @@ def test_house_distances(spark):
     assert house.diameter().first()["diameter"] == pytest.approx(2.3)
 
 
+def test_searched_paths_equal_the_matrix(spark, monkeypatch):
+    """Searches from every node, as larger graphs have them, with a loop, equal ways and, at last, a part out of reach."""
+    edges = [(0, 1, 1), (1, 2, 2), (2, 3, 0.5), (3, 0, 1.5), (0, 2, 0.8), (3, 3, 1), (3, 4, 0.25), (4, 5, 0.25), (3, 5, 0.5)]
+    names, dense = make(spark, edges).matrix()
+    monkeypatch.setattr(Q, "DENSE_NODES", 1)
+    graph = make(spark, edges)
+    assert graph.matrix()[0] == names and graph.matrix()[1] == pytest.approx(dense)
+    assert {(r["s"], r["t"]): r["d"] for r in graph.node_dist.collect()} == pytest.approx({(s, t): dense[i, j] for i, s in enumerate(names) for j, t in enumerate(names)})
+    split = make(spark, [*edges, (8, 9, 1)])
+    assert split.node_dist.where("s = '8'").count() == 2 and split.matrix()[1][0, -1] == float("inf")
+    monkeypatch.setattr(Q, "MATRIX_NODES", 3)
+    with pytest.raises(ValueError, match="more than 3 nodes"):
+        make(spark, edges).matrix()
+
+
 def test_distance_is_symmetric_and_knows_both_orientations(spark, path5):
     assert one_distance(path5, spark, (0, 1, 3), (1, 0, 2)) == pytest.approx(5)
     assert one_distance(path5, spark, (0, 1, 3), (2, 3, 4)) == pytest.approx(21)
