@@ -42,14 +42,18 @@ def passages(chats: DataFrame) -> DataFrame:
         lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"\s", "")).alias("level"), F.regexp_replace(x, MARKS + r" ?", "").alias("line")),
     )
     passage = "array<struct<level:int,lines:array<string>>>"
-    grouped = F.aggregate(
-        lines,
-        F.array().cast(passage),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (F.get(a, F.size(a) - 1)["level"] == x["level"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(F.get(a, F.size(a) - 1)["lines"], F.array(x["line"])).alias("lines")))),
-        ).otherwise(F.concat(a, F.array(F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"))))),
+    # Passages begin where the level changes; one-element arrays bind the lines and these places, so no line is copied twice.
+    begins = F.transform(
+        F.array(lines),
+        lambda x: F.struct(x.alias("x"), F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["level"] != F.get(x, i - 1)["level"])).alias("at")),
     )
+
+    def cut(s, k):
+        first = F.get(s["at"], k)
+        own = F.slice(s["x"], first + 1, F.coalesce(F.get(s["at"], k + 1), F.size(s["x"])) - first)
+        return F.struct(F.get(s["x"], first)["level"].alias("level"), F.transform(own, lambda x: x["line"]).alias("lines"))
+
+    grouped = F.transform(begins, lambda s: F.transform(F.sequence(F.lit(0), F.size(s["at"]) - 1), lambda k: cut(s, k)))[0].cast(passage)
     # Most messages quote nothing; they are one passage as they stand.
     plain = F.array(F.struct(F.lit(0).alias("level"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))).cast(passage)
     return chats.select("conv_id", "turn", "role", F.when(F.contains(F.coalesce("text", F.lit("")), F.lit(">")), grouped).otherwise(plain).alias("passages"))

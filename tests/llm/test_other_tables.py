@@ -82,6 +82,15 @@ def test_url_grams_against_brute_force_and_of_a_long_path(spark):
         assert Counter(r["grams"]) == Counter(brute("h", f"^{r['host']}$") + brute("p", f"^{r['path']}$"))
 
 
+def test_passages_of_a_message_of_very_many_lines(spark):
+    n = 50_000
+    text = "\n".join((">" if i % 3 else "") + f"line {i}" for i in range(n))
+    chats = spark.createDataFrame([("c", 1, "user", text)], "conv_id string, turn long, role string, text string")
+    got = [(p["level"], p["lines"]) for p in chat_quotes.passages(chats).first()["passages"]]
+    want = [x for i in range(0, n, 3) for x in ((0, [f"line {i}"]), (1, [f"line {j}" for j in (i + 1, i + 2) if j < n])) if x[1]]
+    assert got == want
+
+
 # WARC packages.
 
 
