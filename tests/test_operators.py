@@ -170,6 +170,24 @@ def test_trajectory_selection(spark, two_piles):
         A.trajectories(Sphere(2), N.fibonacci_net(spark, 20), A.run_table(spark, [1]), A.Annealing(2, energy_mode="uniform"))
 
 
+def test_pairs_of_points_are_made_block_by_block(spark, monkeypatch):
+    """The same as joins of all pairs, with equal points and blocks smaller than the table, and no pair is shuffled."""
+    from lattica.operators import sphere_blocks
+    from lattica.operators.spaces import Space
+
+    for name in ("SLICE", "BLOCK"):
+        monkeypatch.setattr(sphere_blocks, name, 7)
+    s = Sphere(2)
+    p = N.fibonacci_net(spark, 40).select("point_id", "x").union(N.fibonacci_net(spark, 40).where("point_id < 9").selectExpr("point_id + 100", "x"))
+    p = stored(p.selectExpr("point_id", "x", "if(point_id % 3 = 0, null, point_id % 3) as label"))
+    rows = lambda t: sorted(map(tuple, t.selectExpr(*(f"round({c}, 6)" if c in "sd" else c for c in t.columns)).collect()), key=str)
+    found = s.pairs(p), s.pairs(p, p), s.nearest(p, 3), s.label_sums(p.where("label is not null"), "label")
+    assert all("Join" not in t._jdf.queryExecution().toString() and "CartesianProduct" not in t._jdf.queryExecution().toString() for t in found)
+    monkeypatch.setattr(sphere_blocks, "usable", lambda *_: False)
+    assert rows(found[0]) == rows(s.pairs(p)) and rows(found[1]) == rows(s.pairs(p, p)) and rows(found[2]) == rows(s.nearest(p, 3))
+    assert rows(found[3]) == rows(Space.label_sums(s, p.where("label is not null"), "label"))
+
+
 def test_annealing_on_a_graph_without_a_matrix(spark, two_piles, monkeypatch):
     from lattica.operators import graph as Q
 
