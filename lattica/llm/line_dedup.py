@@ -10,8 +10,8 @@ an edit leaves alone or replaces: each block holds the least of the line's word
 words, two in lines of up to nine words, and the whole line up to three; runs of more letters come first, as runs of short
 words are in many lines. Lines that share a block are compared: by their numbers of words and the parities of 128 hashed
 words, of which an edit flips two at most, then word by word. In a block that more than FEW_LINES lines share, each meets
-the one of the smallest hash first, and then the lines that share another block with it as well, so a passage that very
-many lines hold makes no pairs of all of them. With `exact`, all runs that the shorter of
+the one of the smallest hash first, which joins most copies; then all lines meet that are not in one group yet. The traits
+of what very many lines share are compared for all pairs, but hardly a pair of them comes out. With `exact`, all runs that the shorter of
 two lines of similarity SIMILARITY must share with the longer are keys instead, and every such pair is found: a line of n
 words, the longer of two, is cut into n // q disjoint runs of q words, q being 4 from 16 words on, 3 from 6 and 2 for 4 or
 5; these are more than the n / 5 edits allowed, so one run is left as it is and stands in the other line too.
@@ -34,8 +34,10 @@ SIMILARITY, BLOCKS = 0.8, 8
 LETTERS = (15, 10)
 #: ASCII characters that are not in words.
 SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-#: Lines of a bucket whose pairs are all compared; in larger ones lines meet the first, and those that share two blocks.
+#: Lines of a bucket whose pairs are all compared at once; in larger ones lines meet the first, and then all that it leaves apart.
 FEW_LINES = 16
+#: Lines of a part of a larger bucket; two parts at a time are compared.
+PART = 1024
 #: Buckets of three lines or more are broadcast up to so many (16 bytes each); more meet the lines in a shuffle.
 BROADCAST_BUCKETS = 500_000
 #: Documents with candidate lines are broadcast up to so many (about 100 bytes each); more meet the texts in a shuffle.
@@ -118,7 +120,7 @@ def could(x: str, y: str) -> Column:
 
 
 def meeting(members: DataFrame) -> DataFrame:
-    """(a, b): members (bucket, id, comp and TRAITS) of a bucket, of two comps, that could be alike: all such pairs in buckets of up to FEW_LINES, else those with the smallest id."""
+    """(a, b): members (bucket, id, comp and TRAITS) of a bucket, of two comps, that could be alike: all such pairs in buckets of up to FEW_LINES, else those with the smallest id, and `rest` has the others."""
     kept = F.struct("id", "comp", *TRAITS)
     lead = members.groupBy("bucket").agg(F.min_by(kept, "id").alias("a"), F.count("*").alias("n")).where("n > 1")
     met = common.join_counted(members, lead, ["bucket"])
@@ -128,17 +130,22 @@ def meeting(members: DataFrame) -> DataFrame:
     return led.select("a.id", F.col("id").alias("b")).toDF("a", "b").unionByName(few.select("a.id", F.col("b.id").alias("b")).toDF("a", "b")).distinct()
 
 
-def finer(members: DataFrame, comps: DataFrame, found: DataFrame) -> DataFrame:
-    """Members as `meeting` takes them, of buckets of more than FEW_LINES that comps (id, comp) does not connect yet, in a bucket for each further block of theirs.
+def rest(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): all pairs, that could be alike, of members of two comps (id, comp) in the buckets of more than FEW_LINES that comps does not connect yet.
 
-    What very many lines share, a passage for instance, is one key more for each of their other blocks, never a pair of all of them.
+    Members are dealt into parts of about PART lines and those into pairs of parts, a row each, so that no bucket is one task.
     """
     placed = common.stored(members.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where(f"x <> y and n > {FEW_LINES}").select("bucket", "n")
-    each = common.stored(common.join_counted(placed, mixed, ["bucket"]).drop("n"), "mixed")
-    own = blocks(found.join(each.select(F.col("id").alias("h1")).distinct(), "h1")).distinct().groupBy("id").agg(F.collect_list("bucket").alias("own"))
-    split = each.join(own, "id").select("bucket", "id", "comp", *TRAITS, F.explode("own").alias("other")).where("bucket <> other")
-    return common.stored(split.withColumn("bucket", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"))).drop("other").distinct(), "finer")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where(f"x <> y and n > {FEW_LINES}")
+    each = common.join_counted(placed, mixed.select("bucket", "n", F.ceil(F.col("n") / PART).cast("int").alias("parts")), ["bucket"])
+    packed = each.groupBy("bucket", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("id", "comp", *TRAITS)).alias("lines"))
+    sides = packed.select("bucket", "part", "lines", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    first = F.col("part") <= F.col("other")
+    both = sides.groupBy("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.first(F.when(first, F.col("lines")), True).alias("x"), F.first(F.when(~first, F.col("lines")), True).alias("y"))
+    # Of two parts one may be empty; a part that meets itself has only one side.
+    other = F.when(F.col("p") == F.col("q"), F.col("x")).otherwise(F.col("y"))
+    met = both.select("x", F.explode(other).alias("b")).select("b", F.explode("x").alias("a")).where("a.comp <> b.comp").where(could("a.", "b."))
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def near(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -198,7 +205,7 @@ def groups(docs: DataFrame, several: bool = False, exact: bool = False) -> DataF
     links, comps = near(meeting(members), heads, docs), members.select("id", "comp").limit(0)
     if links is not None:
         comps = common.connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "few")
-    more = near(meeting(finer(members, comps, found)), heads, docs)
+    more = near(rest(members, comps), heads, docs)
     if more is not None and not more.isEmpty():
         comps = common.connected_components(comps.select(F.col("id").alias("src"), F.col("comp").alias("dst")).unionAll(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "all")
     joined = common.stored(heads.select("h1", "h2", "first").join(comps.withColumnRenamed("id", "h1"), "h1"), "placed")

@@ -27,6 +27,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Counters of a row of the sketch, and those that are shipped as one slice.
 SLOTS_LOG2, SLICE = 21, 1 << 15
+#: Steps of the logarithm of a counter, to base 2, that the shipped tables keep.
+STEPS = 1024
 
 
 def slots(sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,35 +67,37 @@ def _add_slices(batches):
                 own = sums.setdefault(k, np.zeros(SLICE, np.int64))
                 own += np.frombuffer(low, np.uint8)
                 own[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
-    rows = [(k, 0, s.astype("<i8").tobytes()) for k, s in sums.items()] + ([(-1, docs, b"")] if docs else [])
+    rows = [(k, 0, coded(s).astype("<u2").tobytes()) for k, s in sums.items()] + ([(-1, docs, b"")] if docs else [])
     for row in rows:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["slice", "docs", "n"])
 
 
+def coded(counters: np.ndarray) -> np.ndarray:
+    """Logarithms of counters in 16 bits, as they are shipped."""
+    return np.round(STEPS * np.log2(1.0 + counters)).astype(np.uint16)
+
+
 def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Documents with words, and the counters of both rows of the sketch: of one size, whatever the input."""
+    """Documents with words, and the codes of the counters of both rows of the sketch: of one size, whatever the input."""
     sketch = (
         docs.select("text")
         .mapInArrow(_sketch, "slice int, docs long, low binary, at binary, n binary")
         .repartition((2 << SLOTS_LOG2) // SLICE, "slice")
         .mapInArrow(_add_slices, "slice int, docs long, n binary")
     )
-    total, counters = 0, np.zeros(2 << SLOTS_LOG2, np.int64)
-    for r in sketch.collect():  # a fixed number of counters
+    total, codes = 0, np.zeros(2 << SLOTS_LOG2, np.uint16)
+    for r in sketch.collect():  # a fixed number of counters, each slice from one task
         if r["slice"] < 0:
             total += r["docs"]
         else:
-            counters[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["n"], "<i8")
-    return total, counters
+            codes[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["n"], "<u2")
+    return total, codes
 
 
 class Weigher:
-    #: Steps of the logarithm of a counter, to base 2, that the shipped tables keep.
-    STEPS = 1024
-
-    def __init__(self, total: int, counters: np.ndarray | None = None) -> None:
-        self.codes = None if counters is None else np.round(self.STEPS * np.log2(1.0 + counters)).astype(np.uint16)
-        df = np.exp2(np.arange(1 << 16) / self.STEPS) - 1
+    def __init__(self, total: int, codes: np.ndarray | None = None) -> None:
+        self.codes = codes
+        df = np.exp2(np.arange(1 << 16) / STEPS) - 1
         self.idf = 1 + np.maximum(0.0, np.log((1 + total) / (1 + df))) / np.log(1 + max(1, total))
 
     def __call__(self, sid: np.ndarray, tf: np.ndarray) -> np.ndarray:

@@ -412,6 +412,20 @@ def test_lines_by_edit_similarity_alone(spark):
     assert got == {i: find(i) for i, x in enumerate(split) if x}
 
 
+def test_line_dedup_compares_all_lines_of_a_large_block(spark, monkeypatch):
+    """Two lines that could be alike, share one block with many others and nothing else, and are unlike the first of it."""
+    monkeypatch.setattr(line_dedup, "PART", 7)
+    own = random.Random(4)
+    traits = [(own.getrandbits(63), own.getrandbits(63)) for _ in range(60)]
+    traits[41] = traits[40]
+    members = spark.createDataFrame([(7, i, i, 10, *t) for i, t in enumerate(traits)], "bucket long, id long, comp long, m int, p0 long, p1 long")
+    none = members.select("id", "comp").limit(0)
+    assert line_dedup.meeting(members).count() == 0
+    assert [tuple(r) for r in line_dedup.rest(members, none).collect()] == [(40, 41)]
+    joined = spark.createDataFrame([(i, 0) for i in range(60)], "id long, comp long")
+    assert line_dedup.rest(members, joined).count() == 0
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = {r["doc_id"]: r for r in line_dedup.report(odd).collect() if r["doc_id"] is not None}
     assert line_dedup.report(odd).count() == odd.count()
