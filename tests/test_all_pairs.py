@@ -34,3 +34,18 @@ def test_first_hops_look_up_no_table_of_pairs(spark):
     assert got == want
     apart = Q.MetricGraph(g.nodes, g.edges.where("not (u = 'b' and v = 'c')"))
     assert {(r["s"], r["t"]) for r in Q.first_hops(apart).collect()} == {(s, t) for s, t in want if (s[0] in "ab") == (t[0] in "ab")}
+
+
+def test_distances_of_all_points_meet_by_edge(spark, monkeypatch):
+    g = comb(spark, 2)
+    rows = [("a", "b", 0.3), ("b", "a", 0.2), ("a", "b", 0.9), ("c", "c", 0.1), ("c", "c", 1.8), ("a0", "a", 0.0), ("d", "c", 1.0)]
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "point_id int, u string, v string, pos double")
+    want = {(r["a_point_id"], r["b_point_id"]): r["d"] for r in g.pair_distances(p, p).collect()}
+
+    def refused(*_):
+        raise AssertionError("four lookups a pair")
+
+    monkeypatch.setattr(Q.MetricGraph, "pair_distances", refused)
+    half = {(r["i"], r["j"]): r["d"] for r in GraphSpace(g).pairs(p).collect()}
+    assert half == pytest.approx({k: d for k, d in want.items() if k[0] < k[1]})
+    assert {(r["i"], r["j"]): r["d"] for r in GraphSpace(g).pairs(p, p).collect()} == pytest.approx(want)
