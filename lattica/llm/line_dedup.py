@@ -10,8 +10,9 @@ an edit leaves alone or replaces: each block holds the least of the line's word
 words, two in lines of up to nine words, and the whole line up to three; runs of more letters come first, as runs of short
 words are in many lines. Lines that share a block are compared: by their numbers of words and the parities of 128 hashed
 words, of which an edit flips two at most, then word by word. In a block that more than FEW_LINES lines share, each meets
-the one of the smallest hash first, which joins most copies; then all lines meet that are not in one group yet. The traits
-of what very many lines share are compared for all pairs, but hardly a pair of them comes out. With `exact`, all runs that the shorter of
+the one of the smallest hash and the shortest of about its length first, which joins most copies. Then all others meet all lines of the bucket, others being
+the lines outside its largest group, if they are MOST_OTHERS at most; else its lines meet by the runs of two words, and then
+by the words, that are rare among such lines: of these, so many are taken that any two that are alike share one. With `exact`, all runs that the shorter of
 two lines of similarity SIMILARITY must share with the longer are keys instead, and every such pair is found: a line of n
 words, the longer of two, is cut into n // q disjoint runs of q words, q being 4 from 16 words on, 3 from 6 and 2 for 4 or
 5; these are more than the n / 5 edits allowed, so one run is left as it is and stands in the other line too.
@@ -25,6 +26,9 @@ that docs can't clash with, as only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
@@ -34,9 +38,15 @@ SIMILARITY, BLOCKS = 0.8, 8
 LETTERS = (15, 10)
 #: ASCII characters that are not in words.
 SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-#: Lines of a bucket whose pairs are all compared at once; in larger ones lines meet the first, and then all that it leaves apart.
+#: Lines of a bucket whose pairs are all compared at once; in larger ones lines meet the first, and then those that it leaves apart.
 FEW_LINES = 16
-#: Lines of a part of a larger bucket; two parts at a time are compared.
+#: In larger buckets, lines whose numbers of words are within this factor also meet the shortest of them.
+LENGTHS = 1.12
+#: Lines outside the largest group of a bucket up to which each line of the bucket meets all of them.
+MOST_OTHERS = 256
+#: Lengths in words of the rare runs by which the lines of other buckets meet, one after the other while buckets of more others come out.
+RARE = (2, 1)
+#: Lines of a part of a bucket that is still larger; two parts at a time are compared.
 PART = 1024
 #: Buckets of three lines or more are broadcast up to so many (16 bytes each); more meet the lines in a shuffle.
 BROADCAST_BUCKETS = 500_000
@@ -119,25 +129,49 @@ def could(x: str, y: str) -> Column:
     return (F.abs(F.col(m) - F.col(n)) <= allowed) & (flipped <= 2 * allowed)
 
 
-def meeting(members: DataFrame) -> DataFrame:
-    """(a, b): members (bucket, id, comp and TRAITS) of a bucket, of two comps, that could be alike: all such pairs in buckets of up to FEW_LINES, else those with the smallest id, and `rest` has the others."""
+def crowded(members: DataFrame) -> DataFrame:
+    """members of the buckets of more than FEW_LINES."""
+    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > FEW_LINES)
+    return common.stored(common.join_counted(members, large, ["bucket"]).drop("n"), "crowded")
+
+
+def meeting(members: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """(a, b): members (bucket, id, comp and TRAITS) of a bucket, of two comps, that could be alike: all such pairs in buckets of up to FEW_LINES, else those with the smallest id and with the shortest line of about their length, and `rest` has the others."""
     kept = F.struct("id", "comp", *TRAITS)
     lead = members.groupBy("bucket").agg(F.min_by(kept, "id").alias("a"), F.count("*").alias("n")).where("n > 1")
     met = common.join_counted(members, lead, ["bucket"])
     few = met.where(F.col("n").between(3, FEW_LINES)).groupBy("bucket").agg(F.collect_list(kept).alias("x"))
     few = few.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a.id < b.id and a.comp <> b.comp").where(could("a.", "b."))
     led = met.where(F.col("a.comp") != F.col("comp")).where(could("a.", ""))
-    return led.select("a.id", F.col("id").alias("b")).toDF("a", "b").unionByName(few.select("a.id", F.col("b.id").alias("b")).toDF("a", "b")).distinct()
+    sized = (crowded(members) if large is None else large).withColumn("length", F.floor(F.log("m") / math.log(LENGTHS)))
+    lead = sized.groupBy("bucket", "length").agg(F.min_by(kept, F.struct("m", "id")).alias("a"), F.count("*").alias("n")).where("n > 1")
+    near = common.join_counted(sized, lead, ["bucket", "length"]).where(F.col("a.comp") != F.col("comp")).where(could("a.", ""))
+    near = near.select(F.least("a.id", "id").alias("a"), F.greatest("a.id", "id").alias("b"))
+    return led.select("a.id", F.col("id").alias("b")).toDF("a", "b").unionByName(few.select("a.id", F.col("b.id").alias("b")).toDF("a", "b")).unionByName(near).distinct()
 
 
-def rest(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b): all pairs, that could be alike, of members of two comps (id, comp) in the buckets of more than FEW_LINES that comps does not connect yet.
+def apart(members: DataFrame) -> DataFrame:
+    """members of the buckets of several comps, with main, the comp of most members of their bucket, n, its members, and others, how many of them are not in main."""
+    sums = members.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("most"))
+    sums = sums.where("n > most.c").select("bucket", "n", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("others"))
+    return common.stored(common.join_counted(members, sums, ["bucket"]), "apart")
+
+
+def with_others(each: DataFrame) -> DataFrame:
+    """(a, b): of what `apart` returns, pairs that could be alike in the buckets of up to MOST_OTHERS others: every member meets the others, so pairs are as many as MOST_OTHERS a member at most."""
+    each = each.where(F.col("others") <= MOST_OTHERS)
+    lists = each.where("comp <> main").groupBy("bucket").agg(F.first("n").alias("n"), F.collect_list(F.struct("id", "comp", *TRAITS)).alias("x"))
+    met = common.join_counted(each.drop("n"), lists, ["bucket"]).select("id", "comp", "main", *TRAITS, F.explode("x").alias("a"))
+    met = met.where("a.comp <> comp and (comp = main or a.id < id)").where(could("a.", ""))
+    return met.select(F.least("a.id", "id").alias("a"), F.greatest("a.id", "id").alias("b")).distinct()
+
+
+def in_parts(each: DataFrame) -> DataFrame:
+    """(a, b): of what `apart` returns, all pairs that could be alike in the buckets of more others.
 
     Members are dealt into parts of about PART lines and those into pairs of parts, a row each, so that no bucket is one task.
     """
-    placed = common.stored(members.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where(f"x <> y and n > {FEW_LINES}")
-    each = common.join_counted(placed, mixed.select("bucket", "n", F.ceil(F.col("n") / PART).cast("int").alias("parts")), ["bucket"])
+    each = each.where(F.col("others") > MOST_OTHERS).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     packed = each.groupBy("bucket", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("id", "comp", *TRAITS)).alias("lines"))
     sides = packed.select("bucket", "part", "lines", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     first = F.col("part") <= F.col("other")
@@ -148,29 +182,95 @@ def rest(members: DataFrame, comps: DataFrame) -> DataFrame:
     return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
+def finer(lines: DataFrame, q: int) -> DataFrame:
+    """bucket, id, comp, TRAITS: lines (id, comp, TRAITS, codes) by their rarest runs of q words; each two that are alike share one.
+
+    Two lines of m words and n >= m that are alike are e <= n * (1 - SIMILARITY) edits apart, n - m of them insertions at
+    least. So of the m words floor(m * (1 - SIMILARITY)) go at most, as of the n words with n; and of the different runs of
+    two words twice as many and one (an insertion breaks one run). Of either line one more of the rarest than may go are
+    taken, in one order of all runs: if none of these were in both, fewer would be in both than stay. The order is by the
+    number of lines that have a run, which leaves out what very many lines share.
+    """
+    n = F.size("codes")
+    edits = F.floor(n * (1 - SIMILARITY) + 1e-9)
+    word = F.transform("codes", lambda c: c.cast("long"))
+    pair = F.zip_with(F.slice(word, 1, n - 1), F.slice(word, 2, n - 1), lambda x, y: x * (1 << 20) + y)
+    each = lines.select("id", "comp", *TRAITS, (q * edits + q).alias("due"), F.array_distinct(F.when(n < q, word).otherwise(pair if q == 2 else word)).alias("runs"))
+    each = each.select("id", "comp", *TRAITS, (F.col("due") - F.size("runs")).alias("due"), F.explode("runs").alias("bucket"))
+    shared = common.stored(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "runs")
+    few = shared.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
+    # Runs of one line alone come first, and need no bucket: they are those that are missing here.
+    met = each.join(F.broadcast(shared), "bucket") if few else common.join_counted(each, shared, ["bucket"])
+    met = met.groupBy("id").agg(*(F.first(c).alias(c) for c in ("comp", *TRAITS, "due")), F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("runs"))
+    met = met.withColumn("due", (F.col("due") + F.size("runs")).cast("int")).where("due > 0")
+    return common.stored(met.select("id", "comp", *TRAITS, F.explode(F.slice("runs", F.lit(1), F.col("due"))).alias("r")).select("r.bucket", "id", "comp", *TRAITS), "finer")
+
+
+def again(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """`apart` of large buckets, where comps (id, comp) has connected some."""
+    placed = large.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return apart(common.stored(placed.select("bucket", "id", "comp", *TRAITS), "placed"))
+
+
+def rest(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): all pairs, that could be alike, of members of two comps (id, comp) in the buckets of more than FEW_LINES that comps does not connect yet."""
+    each = again(crowded(members), comps)
+    return with_others(each).unionByName(in_parts(each)).distinct()
+
+
+def linked_again(large: DataFrame, comps: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Those of `rest` that are alike, without all pairs of a bucket of many others: its lines meet by ever shorter runs that are rare among them."""
+    each = again(large, comps)
+    pairs = common.stored(with_others(each), "pairs")
+    crowd = common.stored(each.where(F.col("others") > MOST_OTHERS).select("id", "comp", *TRAITS).distinct(), "crowd")
+    if crowd.isEmpty():
+        return near(pairs, heads, docs)
+    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(crowd.select("id")).distinct()
+    known = common.stored(with_words(heads.select(F.col("h1").alias("id"), "first").join(some, "id"), docs, codes, "codes"), "known")
+    for q in RARE:
+        each = apart(finer(crowd.join(known, "id"), q))
+        pairs = pairs.unionByName(with_others(each))
+        crowd = common.stored(each.where(F.col("others") > MOST_OTHERS).select("id", "comp", *TRAITS).distinct(), "crowd")
+        if crowd.isEmpty():
+            break
+    else:
+        pairs = pairs.unionByName(in_parts(each))
+    return linked(common.stored(pairs.distinct(), "pairs"), known.select("id", as_symbols(F.col("codes")).alias("symbols")))
+
+
 def near(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Those pairs (a, b) of lines that are alike, word by word; None if there are no pairs."""
     pairs = common.stored(pairs, "pairs")
     if pairs.isEmpty():
         return None
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = common.stored(with_symbols(heads.select(F.col("h1").alias("id"), "first").join(some, "id"), docs), "known")
+    known = common.stored(with_words(heads.select(F.col("h1").alias("id"), "first").join(some, "id"), docs, lambda line: as_symbols(codes(line)), "symbols"), "known")
+    return linked(pairs, known)
+
+
+def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of known lines (id, symbols) that are alike, word by word."""
     ends = [known.select(F.col("id").alias(c), F.col("symbols").alias(x)) for c, x in zip("ab", "xy")]
     return common.stored(pairs.join(ends[0], "a").join(ends[1], "b").where(alike(F.col("x"), F.col("y"))).select("a", "b"), "links")
 
 
-def symbols(line: Column) -> Column:
-    """A string with one character for each word: 20 bits of its hash, from U+10000 on."""
-    return F.decode(F.unhex(F.array_join(F.transform(words(line), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + (1 << 16)), 8, "0")), "")), "UTF-32")
+def codes(line: Column) -> Column:
+    """20 bits of the hash of each word."""
+    return F.transform(words(line), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 20)).cast("int"))
+
+
+def as_symbols(codes: Column) -> Column:
+    """A string with one character for each code, from U+10000 on."""
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + (1 << 16)), 8, "0")), "")), "UTF-32")
 
 
-def with_symbols(heads: DataFrame, docs: DataFrame) -> DataFrame:
-    """heads (id, first) with the symbols of their lines, which are read again from docs, once."""
+def with_words(heads: DataFrame, docs: DataFrame, how: Callable[[Column], Column], name: str) -> DataFrame:
+    """heads (id, first) with `how` of their lines, which are read again from docs, once."""
     wanted = heads.groupBy(F.col("first.doc_id").alias("_doc_id"), F.col("first.text_hash").alias("_hash")).agg(F.collect_list(F.struct("first.line", "id")).alias("_lines"))
     wanted = common.stored(wanted, "wanted")
     few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     met = docs.join(F.broadcast(wanted) if few else wanted, (docs["doc_id"] == F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    each = met.select(F.split(docs["text"], "\n", -1).alias("_split"), F.explode("_lines").alias("l")).select("l.id", symbols(F.get("_split", F.col("l.line"))).alias("symbols"))
+    each = met.select(F.split(docs["text"], "\n", -1).alias("_split"), F.explode("_lines").alias("l")).select("l.id", how(F.get("_split", F.col("l.line"))).alias(name))
     return each.dropDuplicates(["id"])
 
 
@@ -186,6 +286,16 @@ def alike(x: Column, y: Column) -> Column:
     return found.otherwise(F.call_function("levenshtein", x, y, allowed) >= 0)
 
 
+def merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, comp) with further links (a, b) between them or lines of none."""
+    ends = more
+    for c in "ab":
+        ends = ends.join(comps.select(F.col("id").alias(c), F.col("comp").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    found = common.stored(common.connected_components(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")), "all"), "merged")
+    moved = comps.join(found.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return moved.unionByName(found.join(comps, "id", "left_anti"))
+
+
 def groups(docs: DataFrame, several: bool = False, exact: bool = False) -> DataFrame:
     """id (doc_id, text_hash, line) and kept (the id that its group keeps) of every line with words, or of those in groups of several.
 
@@ -202,12 +312,13 @@ def groups(docs: DataFrame, several: bool = False, exact: bool = False) -> DataF
     pairs = shared.where("n = 2").select("bucket", F.explode(F.array("a", "z")).alias("id"))
     members = pairs.unionByName(each.join(F.broadcast(large) if few else large, "bucket").select("bucket", "id").distinct())
     members = common.stored(members.join(heads.groupBy(F.col("h1").alias("id")).agg(*(F.max(t).alias(t) for t in TRAITS)), "id").withColumn("comp", F.col("id")), "blocks")
-    links, comps = near(meeting(members), heads, docs), members.select("id", "comp").limit(0)
+    large = crowded(members)
+    links, comps = near(meeting(members, large), heads, docs), members.select("id", "comp").limit(0)
     if links is not None:
         comps = common.connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "few")
-    more = near(rest(members, comps), heads, docs)
+    more = linked_again(large, comps, heads, docs)
     if more is not None and not more.isEmpty():
-        comps = common.connected_components(comps.select(F.col("id").alias("src"), F.col("comp").alias("dst")).unionAll(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "all")
+        comps = merged(comps, more)
     joined = common.stored(heads.select("h1", "h2", "first").join(comps.withColumnRenamed("id", "h1"), "h1"), "placed")
     # The smallest line of a component, for which many lines may ask, is its own row of the table of components.
     kept = joined.groupBy("comp").agg(F.min("first").alias("kept"), F.count("*").alias("n"))

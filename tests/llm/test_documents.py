@@ -426,6 +426,50 @@ def test_line_dedup_compares_all_lines_of_a_large_block(spark, monkeypatch):
     assert line_dedup.rest(members, joined).count() == 0
 
 
+def test_alike_lines_share_a_rare_run(spark, monkeypatch):
+    """Lines with a passage of half of their words in common: every two within a fifth of edits meet by one and by two words, most others do not."""
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(21), []
+    vocabulary, passage = rand_words(rng, 400), rand_words(rng, 20)
+    for _ in range(60):
+        base = [*rng.choices(vocabulary, k=rng.randrange(10, 30)), *passage]
+        for _ in range(rng.randrange(1, 4)):
+            own = list(base)
+            for _ in range(rng.randrange(len(base) // 5 + 1)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = rng.choice(([], [rng.choice(vocabulary)]))
+            rows.append((len(rows), own))
+    lines = spark.createDataFrame([(i, i, len(w), 0, 0, [vocabulary.index(x) if x in vocabulary else 400 + passage.index(x) for x in w]) for i, w in rows], "id long, comp long, m int, p0 long, p1 long, codes array<int>")
+    want = {(i, j) for i, x in rows for j, y in rows[i + 1 :] if edits(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9)}
+    assert len(want) > 30
+    for q in line_dedup.RARE:
+        of = {}
+        for r in line_dedup.finer(lines, q).select("bucket", "id").collect():
+            of.setdefault(r["bucket"], set()).add(r["id"])
+        met = {(i, j) for x in of.values() for i in x for j in x if i < j}
+        assert want <= met and (q == 1 or len(met) < len(rows) ** 2 / 8)
+
+
+def test_lines_of_a_very_common_passage_are_not_compared_in_pairs(spark, monkeypatch):
+    """The comparisons grow with the lines that share a passage, not with their square, and the alike ones among them are found."""
+    monkeypatch.setattr(line_dedup, "FEW_LINES", 8)
+    monkeypatch.setattr(line_dedup, "MOST_OTHERS", 8)
+    in_parts = line_dedup.in_parts
+    monkeypatch.setattr(line_dedup, "in_parts", lambda each: in_parts(each) if each.where("others > 8").isEmpty() else pytest.fail("all pairs of a bucket are compared"))
+    rng, rows = random.Random(22), []
+    passage = rand_words(rng, 12)
+    for i in range(200):
+        base = rand_words(rng, 24)
+        base[6:18] = passage
+        own = list(base)
+        own[rng.choice((1, 3, 20, 22))] = "edited"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(own))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["id"]["doc_id"]: r["kept"]["doc_id"] for r in line_dedup.groups(df).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = {r["doc_id"]: r for r in line_dedup.report(odd).collect() if r["doc_id"] is not None}
     assert line_dedup.report(odd).count() == odd.count()
