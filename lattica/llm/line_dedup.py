@@ -27,8 +27,6 @@ that docs can't clash with, as only doc_id and text are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
@@ -50,6 +48,8 @@ RARE = (2, 1)
 PART = 1024
 #: Buckets of three lines or more are broadcast up to so many (16 bytes each); more meet the lines in a shuffle.
 BROADCAST_BUCKETS = 500_000
+#: Ids of candidate lines are broadcast up to so many (about 50 bytes each); more are looked up by their documents.
+BROADCAST_LINES = 500_000
 #: Documents with candidate lines are broadcast up to so many (about 100 bytes each); more meet the texts in a shuffle.
 BROADCAST_DOCS = 50_000
 
@@ -63,6 +63,10 @@ def words(line: Column) -> Column:
     return F.split(F.lower(F.btrim(line, F.lit(SEPARATORS))), common.BETWEEN_WORDS, -1)
 
 
+def normalised(line: str) -> Column:
+    return F.lower(F.btrim(line, F.lit(SEPARATORS)))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line (from 0) and its text, of all lines."""
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
@@ -70,7 +74,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def normal(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line, its normalised text's hash h1 and hash h2, and its words, of all lines with words."""
-    plain = lines(docs).select("doc_id", "text_hash", "line", F.lower(F.btrim("raw", F.lit(SEPARATORS))).alias("norm")).where("norm <> ''")
+    plain = lines(docs).select("doc_id", "text_hash", "line", normalised("raw").alias("norm")).where("norm <> ''")
     # Hashes of the line come before any generator, once a line.
     return plain.select("doc_id", "text_hash", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("line"), "norm").alias("h2"), F.split("norm", common.BETWEEN_WORDS, -1).alias("words"))
 
@@ -218,34 +222,20 @@ def rest(members: DataFrame, comps: DataFrame) -> DataFrame:
     return with_others(each).unionByName(in_parts(each)).distinct()
 
 
-def linked_again(large: DataFrame, comps: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame | None:
+def linked_again(large: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
     """Those of `rest` that are alike, without all pairs of a bucket of many others: its lines meet by ever shorter runs that are rare among them."""
     each = again(large, comps)
     pairs = common.stored(with_others(each), "pairs")
-    crowd = common.stored(each.where(F.col("others") > MOST_OTHERS).select("id", "comp", *TRAITS).distinct(), "crowd")
-    if crowd.isEmpty():
-        return near(pairs, heads, docs)
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(crowd.select("id")).distinct()
-    known = common.stored(with_words(heads.select(F.col("h1").alias("id"), "first").join(some, "id"), docs, codes, "codes"), "known")
     for q in RARE:
-        each = apart(finer(crowd.join(known, "id"), q))
-        pairs = pairs.unionByName(with_others(each))
         crowd = common.stored(each.where(F.col("others") > MOST_OTHERS).select("id", "comp", *TRAITS).distinct(), "crowd")
         if crowd.isEmpty():
             break
+        each = apart(finer(crowd.join(known.select("id", "codes"), "id"), q))
+        pairs = pairs.unionByName(with_others(each))
     else:
-        pairs = pairs.unionByName(in_parts(each))
-    return linked(common.stored(pairs.distinct(), "pairs"), known.select("id", as_symbols(F.col("codes")).alias("symbols")))
-
-
-def near(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Those pairs (a, b) of lines that are alike, word by word; None if there are no pairs."""
-    pairs = common.stored(pairs, "pairs")
-    if pairs.isEmpty():
-        return None
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = common.stored(with_words(heads.select(F.col("h1").alias("id"), "first").join(some, "id"), docs, lambda line: as_symbols(codes(line)), "symbols"), "known")
-    return linked(pairs, known)
+        if not each.where(F.col("others") > MOST_OTHERS).isEmpty():
+            pairs = pairs.unionByName(in_parts(each))
+    return linked(common.stored(pairs.distinct(), "pairs"), known)
 
 
 def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -264,16 +254,27 @@ def as_symbols(codes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + (1 << 16)), 8, "0")), "")), "UTF-32")
 
 
-def with_words(heads: DataFrame, docs: DataFrame, how: Callable[[Column], Column], name: str) -> DataFrame:
-    """heads (id, first) with `how` of their lines, which are read again from docs, once."""
+def with_words(heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and codes of heads (id, first), whose lines are read again by their documents, once."""
     wanted = heads.groupBy(F.col("first.doc_id").alias("_doc_id"), F.col("first.text_hash").alias("_hash")).agg(F.collect_list(F.struct("first.line", "id")).alias("_lines"))
     wanted = common.stored(wanted, "wanted")
     few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     met = docs.join(F.broadcast(wanted) if few else wanted, (docs["doc_id"] == F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    each = met.select(F.split(docs["text"], "\n", -1).alias("_split"), F.explode("_lines").alias("l")).select("l.id", how(F.get("_split", F.col("l.line"))).alias(name))
+    each = met.select(F.split(docs["text"], "\n", -1).alias("_split"), F.explode("_lines").alias("l")).select("l.id", codes(F.get("_split", F.col("l.line"))).alias("codes"))
     return each.dropDuplicates(["id"])
 
 
+def read_again(ids: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, codes and symbols of the lines whose first hashes are ids (id). Texts are shuffled only for more than BROADCAST_LINES of them."""
+    ids = common.stored(ids.distinct(), "ids")
+    if ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        met = lines(docs).select(normalised("raw").alias("norm")).where("norm <> ''").select(F.xxhash64("norm").alias("id"), "norm").join(F.broadcast(ids), "id")
+        each = met.select("id", codes(F.col("norm")).alias("codes")).dropDuplicates(["id"])
+    else:
+        each = with_words(heads.select(F.col("h1").alias("id"), "first").join(ids, "id"), docs)
+    return common.stored(each.select("id", "codes", as_symbols(F.col("codes")).alias("symbols")), "known")
+
+
 def alike(x: Column, y: Column) -> Column:
     """Edit similarity of SIMILARITY or more. Limits grow step by step, so that nearly equal lines cost a narrow band of the table.
 
@@ -302,31 +303,37 @@ def groups(docs: DataFrame, several: bool = False, exact: bool = False) -> DataF
     Between different lines the first hash stands for a line, so that the linking works on plain longs.
     """
     docs = docs.select("doc_id", "text")
-    found = occurrences(docs)
-    heads = common.stored(found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"), *(F.max(t).alias(t) for t in TRAITS)), "heads")
-    each = all_runs(docs) if exact else blocks(found)
-    # Most shared buckets hold two lines, which the aggregation names; only the others are joined with all lines again.
-    shared = common.stored(each.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z"), "shared")
-    large = shared.where("n > 2").select("bucket")
-    few = large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
-    pairs = shared.where("n = 2").select("bucket", F.explode(F.array("a", "z")).alias("id"))
-    members = pairs.unionByName(each.join(F.broadcast(large) if few else large, "bucket").select("bucket", "id").distinct())
-    members = common.stored(members.join(heads.groupBy(F.col("h1").alias("id")).agg(*(F.max(t).alias(t) for t in TRAITS)), "id").withColumn("comp", F.col("id")), "blocks")
-    large = crowded(members)
-    links, comps = near(meeting(members, large), heads, docs), members.select("id", "comp").limit(0)
-    if links is not None:
-        comps = common.connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "few")
-    more = linked_again(large, comps, heads, docs)
-    if more is not None and not more.isEmpty():
-        comps = merged(comps, more)
-    joined = common.stored(heads.select("h1", "h2", "first").join(comps.withColumnRenamed("id", "h1"), "h1"), "placed")
-    # The smallest line of a component, for which many lines may ask, is its own row of the table of components.
-    kept = joined.groupBy("comp").agg(F.min("first").alias("kept"), F.count("*").alias("n"))
-    kept = common.join_counted(joined, kept, ["comp"]).select("h1", "h2", "kept")
-    every = heads.select("h1", "h2", "first", "n").join(kept, ["h1", "h2"], "left").select("h1", "h2", "n", F.col("first").alias("own"), F.coalesce("kept", "first").alias("kept"))
-    if several:
-        every = every.where("n > 1 or kept <> own")
-    every = common.stored(every.select("h1", "h2", "n", "kept"), "kept")
+    with common.scratch() as keep:
+        found = keep(occurrences(docs))
+        heads = common.stored(found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"), *(F.max(t).alias(t) for t in TRAITS)), "heads")
+        each = all_runs(docs) if exact else blocks(found)
+        # Most shared buckets hold two lines, which the aggregation names; only the others are joined with all lines again.
+        shared = common.stored(each.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z"), "shared")
+        common.forget(docs.sparkSession)
+        large = shared.where("n > 2").select("bucket")
+        few = large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
+        pairs = shared.where("n = 2").select("bucket", F.explode(F.array("a", "z")).alias("id"))
+        members = pairs.unionByName(each.join(F.broadcast(large) if few else large, "bucket").select("bucket", "id").distinct())
+        members = common.stored(members.join(heads.groupBy(F.col("h1").alias("id")).agg(*(F.max(t).alias(t) for t in TRAITS)), "id").withColumn("comp", F.col("id")), "blocks")
+        large = crowded(members)
+        pairs, comps = common.stored(meeting(members, large), "pairs"), members.select("id", "comp").limit(0)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        if not ends.isEmpty() or not large.isEmpty():
+            known = read_again(ends.unionAll(large.select("id")), heads, docs)
+            common.forget(docs.sparkSession)
+            comps = common.connected_components(linked(pairs, known).select(F.col("a").alias("src"), F.col("b").alias("dst")), "few")
+            more = linked_again(large, comps, known)
+            if not more.isEmpty():
+                comps = merged(comps, more)
+        joined = common.stored(heads.select("h1", "h2", "first").join(comps.withColumnRenamed("id", "h1"), "h1"), "placed")
+        # The smallest line of a component, for which many lines may ask, is its own row of the table of components.
+        kept = joined.groupBy("comp").agg(F.min("first").alias("kept"), F.count("*").alias("n"))
+        kept = common.join_counted(joined, kept, ["comp"]).select("h1", "h2", "kept")
+        every = heads.select("h1", "h2", "first", "n").join(kept, ["h1", "h2"], "left").select("h1", "h2", "n", F.col("first").alias("own"), F.coalesce("kept", "first").alias("kept"))
+        if several:
+            every = every.where("n > 1 or kept <> own")
+        every = keep(common.stored(every.select("h1", "h2", "n", "kept"), "kept"))
+        common.forget(docs.sparkSession)
     return common.join_counted(found.select("id", "h1", "h2"), every, ["h1", "h2"]).select("id", "kept")
 
 

@@ -470,6 +470,29 @@ def test_lines_of_a_very_common_passage_are_not_compared_in_pairs(spark, monkeyp
     assert got == {i: i - i % 2 for i in range(400)}
 
 
+def test_line_dedup_leaves_two_tables_and_shuffles_no_text(spark, monkeypatch):
+    """What is stored on the way is deleted again, and lines are read again by a broadcast of their ids; by their documents the groups are the same."""
+    from pathlib import Path
+
+    from lattica.plans import storage
+
+    rng = random.Random(23)
+    base = [rand_words(rng, 20) for _ in range(30)]
+    rows = [(2 * i + k, " ".join(w[:10] + (["edited"] if k else []) + w[10:]) + "\nshared by all of them") for i, w in enumerate(base) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder, by_documents, calls = Path(storage.shared_dir(spark).removeprefix("file://")), line_dedup.with_words, []
+    monkeypatch.setattr(line_dedup, "with_words", lambda *a: calls.append(1) or by_documents(*a))
+    got = []
+    for most in (line_dedup.BROADCAST_LINES, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        before = set(folder.iterdir())
+        found = line_dedup.groups(df)
+        got.append({(r["id"]["doc_id"], r["id"]["line"]): r["kept"]["doc_id"] for r in found.collect()})
+        assert {p.name.split("-")[1] for p in set(folder.iterdir()) - before} <= {"lines", "kept", "counted"}
+        assert len(calls) == (most == 0)
+    assert got[0] == got[1] == {(i, k): 0 if k else i - i % 2 for i in range(60) for k in (0, 1)}
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = {r["doc_id"]: r for r in line_dedup.report(odd).collect() if r["doc_id"] is not None}
     assert line_dedup.report(odd).count() == odd.count()
