@@ -83,7 +83,8 @@ class Codec:
         for b, i in enumerate(vocabulary.byte_ids):
             self.text[i] = bytes([b])
         self.name = [str(i) for i in range(vocabulary.size)]
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs; NONE where there is none. Symbols below 0 have no pair."""
@@ -182,7 +183,7 @@ class Codec:
         return sym, word
 
     def learn(self, words: set[str]) -> None:
-        """Encodes and decodes words that are not known: ids as text, number of ids, decoded text, of SPACE + word."""
+        """Encodes and decodes words that are not known: ids as text of SPACE + word, and the decoded text where it is not the word behind a blank."""
         new = list(words)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
@@ -191,7 +192,9 @@ class Codec:
             ids, begin = ids.tolist(), 0
             for w, end in zip(some, ends):
                 own = ids[begin:end]
-                self.known[w] = ",".join([self.name[x] for x in own]), end - begin, b"".join([self.text[x] for x in own]).decode("utf-8", "replace")
+                self.known[w] = ",".join([self.name[x] for x in own])
+                if (text := b"".join([self.text[x] for x in own]).decode("utf-8", "replace")) != " " + w:
+                    self.odd[w] = text
                 begin = end
 
     @staticmethod
@@ -210,12 +213,14 @@ class Codec:
         split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.odd.clear()
         new = set().union(*split).difference(self.known) if split else set()
         self.learn(new)
-        known, out = self.known, []
+        known, odd, out = self.known, self.odd, []
         for words in split:
-            got = [known[w] for w in words]
-            out.append((sum([g[1] for g in got]), ",".join([g[0] for g in got]), "".join([g[2] for g in got])[1:]))
+            ids = ",".join([known[w] for w in words])
+            text = " ".join(words) if odd.keys().isdisjoint(words) else "".join([odd.get(w, " " + w) for w in words])[1:]
+            out.append((ids.count(",") + 1 if words else 0, ids, text))
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:

@@ -64,6 +64,18 @@ def test_sentencepiece_equals_the_library(small):
     assert [codec.decode(ids) for ids in some] == [model.decode(ids) for ids in some]
 
 
+def test_sentencepiece_remembers_ids_alone(monkeypatch):
+    """A word's decoded text is remembered only where it is not the word; what is remembered stays small, and results don't depend on it."""
+    texts = ["plain words of a text", "  two  blanks ", "\u2581odd \u2581\u2581ones", "", "tab\tand \x00 control", "a" * 50, "words words"]
+    codec = sentencepiece_bpe.Codec(sentencepiece_bpe.Vocabulary(queries.sentencepiece_model()))
+    want = codec.both(texts)
+    assert all(isinstance(v, str) for v in codec.known.values()) and "plain" in codec.known and "plain" not in codec.odd
+    assert [n for n, ids, _ in want] == [len(codec.encode([t])[0]) for t in texts] and want[3] == (0, "", "")
+    assert [text for _, _, text in want] == [codec.decode(codec.encode([t])[0]) for t in texts]
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 1)
+    assert [x for t in texts for x in codec.both([t])] == want
+
+
 def test_sentencepiece_query(spark, sf, odd):
     import sentencepiece
 
