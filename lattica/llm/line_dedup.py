@@ -11,8 +11,8 @@ words, two in lines of up to nine words, and the whole line up to three; runs of
 words are in many lines. Lines that share a block are compared: by their numbers of words and the parities of 128 hashed
 words, of which an edit flips two at most, then word by word. In a block that more than FEW_LINES lines share, each meets
 the one of the smallest hash and the shortest of about its length first, which joins most copies. Then all others meet all lines of the bucket, others being
-the lines outside its largest group, if they are MOST_OTHERS at most; else its lines meet by the runs of two words, and then
-by the words, that are rare among such lines: of these, so many are taken that any two that are alike share one. With `exact`, all runs that the shorter of
+the lines outside its largest group, if they are MOST_OTHERS at most; else its lines meet those of about their length, if these
+have so few others; else by the runs of two words, and then by the words, that are rare among such lines: of these, so many are taken that any two that are alike share one. With `exact`, all runs that the shorter of
 two lines of similarity SIMILARITY must share with the longer are keys instead, and every such pair is found: a line of n
 words, the longer of two, is cut into n // q disjoint runs of q words, q being 4 from 16 words on, 3 from 6 and 2 for 4 or
 5; these are more than the n / 5 edits allowed, so one run is left as it is and stands in the other line too.
@@ -40,6 +40,8 @@ SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 FEW_LINES = 16
 #: In larger buckets, lines whose numbers of words are within this factor also meet the shortest of them.
 LENGTHS = 1.12
+#: Lines of buckets of more others meet those whose numbers of words are within this factor, a little above what SIMILARITY allows.
+BAND = 1.001 / SIMILARITY
 #: Lines outside the largest group of a bucket up to which each line of the bucket meets all of them.
 MOST_OTHERS = 256
 #: Lengths in words of the rare runs by which the lines of other buckets meet, one after the other while buckets of more others come out.
@@ -198,7 +200,7 @@ def finer(lines: DataFrame, q: int) -> DataFrame:
     n = F.size("codes")
     edits = F.floor(n * (1 - SIMILARITY) + 1e-9)
     word = F.transform("codes", lambda c: c.cast("long"))
-    pair = F.zip_with(F.slice(word, 1, n - 1), F.slice(word, 2, n - 1), lambda x, y: x * (1 << 20) + y)
+    pair = F.zip_with(F.slice(word, 1, n - 1), F.slice(word, 2, n - 1), lambda x, y: x * (1 << 26) + y)
     each = lines.select("id", "comp", *TRAITS, (q * edits + q).alias("due"), F.array_distinct(F.when(n < q, word).otherwise(pair if q == 2 else word)).alias("runs"))
     each = each.select("id", "comp", *TRAITS, (F.col("due") - F.size("runs")).alias("due"), F.explode("runs").alias("bucket"))
     shared = common.stored(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "runs")
@@ -210,6 +212,15 @@ def finer(lines: DataFrame, q: int) -> DataFrame:
     return common.stored(met.select("id", "comp", *TRAITS, F.explode(F.slice("runs", F.lit(1), F.col("due"))).alias("r")).select("r.bucket", "id", "comp", *TRAITS), "finer")
 
 
+def by_length(members: DataFrame) -> DataFrame:
+    """members with their buckets cut by numbers of words: each is in the parts of its own and of the next greater length.
+
+    Of two lines that are alike the longer has 1 / SIMILARITY times as many words at most, so it is in a part that the shorter is in.
+    """
+    own = F.floor(F.log("m") / math.log(BAND))
+    return members.select("*", F.explode(F.array(own, own + 1)).alias("_band")).withColumn("bucket", F.xxhash64("bucket", "_band")).drop("_band")
+
+
 def again(large: DataFrame, comps: DataFrame) -> DataFrame:
     """`apart` of large buckets, where comps (id, comp) has connected some."""
     placed = large.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -223,14 +234,19 @@ def rest(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def linked_again(large: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
-    """Those of `rest` that are alike, without all pairs of a bucket of many others: its lines meet by ever shorter runs that are rare among them."""
+    """Those of `rest` that are alike, without all pairs of a bucket of many others: its lines meet those of about their length, then by ever shorter runs that are rare among them."""
     each = again(large, comps)
     pairs = common.stored(with_others(each), "pairs")
-    for q in RARE:
-        crowd = common.stored(each.where(F.col("others") > MOST_OTHERS).select("id", "comp", *TRAITS).distinct(), "crowd")
-        if crowd.isEmpty():
+    for q in (None, *RARE):
+        many = each.where(F.col("others") > MOST_OTHERS)
+        if many.isEmpty():
             break
-        each = apart(finer(crowd.join(known.select("id", "codes"), "id"), q))
+        if q is None:
+            each = apart(by_length(many.select("bucket", "id", "comp", *TRAITS)))
+        else:
+            # Stored with their codes, so that runs are cut of these lines alone: Spark would do it ahead of the join.
+            crowd = many.select("id", "comp", *TRAITS).distinct().join(known.select("id", "codes"), "id")
+            each = apart(finer(common.stored(crowd, "crowd"), q))
         pairs = pairs.unionByName(with_others(each))
     else:
         if not each.where(F.col("others") > MOST_OTHERS).isEmpty():
@@ -245,13 +261,13 @@ def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def codes(line: Column) -> Column:
-    """20 bits of the hash of each word."""
-    return F.transform(words(line), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 20)).cast("int"))
+    """20 bits of the hash of each word, ten in either half of an int."""
+    return F.transform(words(line), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x03FF03FF)).cast("int"))
 
 
 def as_symbols(codes: Column) -> Column:
-    """A string with one character for each code, from U+10000 on."""
-    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + (1 << 16)), 8, "0")), "")), "UTF-32")
+    """A string with one character for each code, from U+10000 on: two surrogates, of ten bits each."""
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.hex(c.cast("long").bitwiseOR(F.lit(0xD800DC00)))), "")), "UTF-16BE")
 
 
 def with_words(heads: DataFrame, docs: DataFrame) -> DataFrame:
@@ -265,11 +281,13 @@ def with_words(heads: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def read_again(ids: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, codes and symbols of the lines whose first hashes are ids (id). Texts are shuffled only for more than BROADCAST_LINES of them."""
+    """id, codes and symbols of the lines whose first hashes are ids (id), each from its first place. Texts are shuffled only for more than BROADCAST_LINES of them."""
     ids = common.stored(ids.distinct(), "ids")
     if ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        met = lines(docs).select(normalised("raw").alias("norm")).where("norm <> ''").select(F.xxhash64("norm").alias("id"), "norm").join(F.broadcast(ids), "id")
-        each = met.select("id", codes(F.col("norm")).alias("codes")).dropDuplicates(["id"])
+        # Only what stands at a wanted place is normalised; a line that is met by chance has an id that nothing asks for.
+        place = common.stored(heads.join(F.broadcast(ids), F.col("h1") == F.col("id")).select(F.xxhash64("first.doc_id", "first.text_hash", "first.line").alias("place")), "places")
+        met = lines(docs).select(F.xxhash64("doc_id", "text_hash", "line").alias("place"), "raw").join(F.broadcast(place), "place")
+        each = met.select(normalised("raw").alias("norm")).select(F.xxhash64("norm").alias("id"), codes(F.col("norm")).alias("codes")).dropDuplicates(["id"])
     else:
         each = with_words(heads.select(F.col("h1").alias("id"), "first").join(ids, "id"), docs)
     return common.stored(each.select("id", "codes", as_symbols(F.col("codes")).alias("symbols")), "known")

@@ -463,6 +463,34 @@ def test_alike_lines_share_a_rare_run(spark, monkeypatch):
         assert want <= met and (q == 1 or len(met) < len(rows) ** 2 / 8)
 
 
+def test_large_blocks_are_cut_by_length(spark, monkeypatch):
+    """Lines of 1 to 400 words in one block: every two whose lengths allow similarity stay together, others part, and no runs are cut of them."""
+    rows = [(7, m, m, m, 0, 0) for m in range(1, 401)]
+    cut = line_dedup.by_length(spark.createDataFrame(rows, "bucket long, id long, comp long, m int, p0 long, p1 long"))
+    of = {}
+    for r in cut.select("bucket", "id").collect():
+        of.setdefault(r["bucket"], set()).add(r["id"])
+    met = {(i, j) for x in of.values() for i in x for j in x if i < j}
+    want = {(m, n) for m in range(1, 401) for n in range(m + 1, 401) if n - m <= math.floor(n * 0.2 + 1e-9)}
+    assert want <= met and len(met) < 3 * len(want) and cut.count() == 800
+    # Ten lines of each of five lengths share a block; two of them are alike.
+    monkeypatch.setattr(line_dedup, "MOST_OTHERS", 16)
+    monkeypatch.setattr(line_dedup, "finer", lambda *a: pytest.fail("runs are cut"))
+    own = random.Random(24)
+    lines = [(i, m, own.getrandbits(63), own.getrandbits(63), own.choices(range(1 << 20), k=m)) for i, m in enumerate(sorted([10, 20, 40, 80, 160] * 10))]
+    lines[37] = (37, *lines[36][1:])
+    known = spark.createDataFrame([(i, w, "".join(chr(0x10000 + x) for x in w)) for i, *_, w in lines], "id long, codes array<int>, symbols string")
+    large = spark.createDataFrame([(7, i, i, m, p, q) for i, m, p, q, _ in lines], "bucket long, id long, comp long, m int, p0 long, p1 long")
+    assert [tuple(r) for r in line_dedup.linked_again(large, large.select("id", "comp").limit(0), known).collect()] == [(36, 37)]
+
+
+def test_codes_are_symbols(spark):
+    """A symbol for each word, the same where words are, and distances of symbols are those of words."""
+    row = spark.createDataFrame([("One two, three TWO",), ("one two four two",)], "s string").select(line_dedup.as_symbols(line_dedup.codes("s")).alias("x")).collect()
+    x, y = (r["x"] for r in row)
+    assert len(x) == len(y) == 4 and x[1] == x[3] == y[1] and x[0] == y[0] and x[2] != y[2] and all(ord(c) >= 0x10000 for c in x + y)
+
+
 def test_lines_of_a_very_common_passage_are_not_compared_in_pairs(spark, monkeypatch):
     """The comparisons grow with the lines that share a passage, not with their square, and the alike ones among them are found."""
     monkeypatch.setattr(line_dedup, "FEW_LINES", 8)
