@@ -533,6 +533,20 @@ def test_line_dedup_leaves_two_tables_and_shuffles_no_text(spark, monkeypatch):
     assert got[0] == got[1] == {(i, k): 0 if k else i - i % 2 for i in range(60) for k in (0, 1)}
 
 
+def test_ended_plans_are_collected_as_tables_are_stored(spark, monkeypatch):
+    """Within scratch every few tables, so that the driver does not keep what ended; elsewhere only when asked."""
+    from lattica.plans import storage
+
+    calls = []
+    monkeypatch.setattr(storage, "forget", lambda _: calls.append(1))
+    with storage.scratch():
+        for _ in range(2 * storage.FORGET):
+            storage.stored(spark.range(1))
+    assert len(calls) == 2
+    storage.stored(spark.range(1))
+    assert len(calls) == 2
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = {r["doc_id"]: r for r in line_dedup.report(odd).collect() if r["doc_id"] is not None}
     assert line_dedup.report(odd).count() == odd.count()
