@@ -244,7 +244,7 @@ def linked_again(large: DataFrame, comps: DataFrame, known: DataFrame) -> DataFr
         if q is None:
             each = apart(by_length(many.select("bucket", "id", "comp", *TRAITS)))
         else:
-            # Stored with their codes, so that runs are cut of these lines alone: Spark would do it ahead of the join.
+            # Stored with their codes, so that runs are cut of these lines alone: Spark may do it ahead of the join.
             crowd = many.select("id", "comp", *TRAITS).distinct().join(known.select("id", "codes"), "id")
             each = apart(finer(common.stored(crowd, "crowd"), q))
         pairs = pairs.unionByName(with_others(each))
